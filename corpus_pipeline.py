@@ -1,12 +1,61 @@
-"""A corpus pipeline of five operators; each stage reads what its predecessor kept."""
+"""A corpus pipeline of five operators; each stage reads what its predecessor kept.
+
+Quality rules drop rejected documents, one document of each group of near copies stays, documents that cover a benchmark item go,
+sources are drawn to smoothed target weights, and the rest is stored in shards.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tracelake.llm.common import shared_dir
+from tracelake.llm.decontaminate import decontaminate
+from tracelake.llm.mixing import mix
+from tracelake.llm.ngram_join import deduplicate
+from tracelake.llm.quality import keep_good
+from tracelake.llm.sharding import shard_documents
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose document passes the base rules and is no outlier of its language and source."""
+    return keep_good(docs)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of smallest id."""
+    return deduplicate(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no benchmark item to a half."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources, languages and topics have smoothed shares."""
+    return mix(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document lies after it was appended and compacted."""
+    return shard_documents(docs, f"{shared_dir(spark)}/tracelake/corpus-{uuid.uuid4().hex}")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+
+#: Robust estimates and hashed draws have no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

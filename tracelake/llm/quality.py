@@ -26,6 +26,7 @@ TAIL = 8.0  # standard normal quantile of the cutoff
 FLOOR = 0.02  # least standard deviation of a feature: near-constant ones decide nothing on their own
 SHRINK = 200.0  # words at which a ratio counts half
 BROADCAST_GROUPS = 5_000
+BROADCAST_IDS = 1_000_000  # 8 MB of ids; beyond, a shuffled join
 REPEAT = 8
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _POINT = np.isin(np.arange(256), list(b".,;:!?'\"-()"))
@@ -217,3 +218,9 @@ def quality_verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     columns = ["doc_id", *STATS, "base_failed"]
     bad = stats.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return far.select(*columns, "distance", "kept").unionByName(bad)
+
+
+def keep_good(docs: DataFrame, tail: float = TAIL) -> DataFrame:
+    """The rows of docs, with their columns, whose doc_id no row was rejected under; rows without doc_id are not judged and stay."""
+    bad = stage_table(quality_verdicts(docs, tail).where("not kept and doc_id is not null").select("doc_id").distinct(), "rejected")
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, "doc_id", "left_anti").select(*docs.columns)

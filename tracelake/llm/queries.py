@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracelake.llm.chat import repair_roles
+from tracelake.llm.common import shared_dir
+from tracelake.llm.decontaminate import contamination
+from tracelake.llm.mixing import draw
 from tracelake.llm.ngram_join import ngram_jaccard_components
 from tracelake.llm.quality import quality_verdicts
+from tracelake.llm.sharding import shard_documents
 from tracelake.llm.suffix_dedup import repeat_digests
+from tracelake.llm.tokens import token_counts
+from tracelake.llm.toxicity import score_toxicity
+from tracelake.llm.url_filter import filter_urls
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +30,27 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/tracelake/shards-{uuid.uuid4().hex}")
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return filter_urls(_table(spark, sf_dir, "pages"), labels)
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_roles(_table(spark, sf_dir, "conversations"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_verdicts(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -26,10 +60,25 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draw(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_sharding": op2_sharding,
+    "op3_url_filters": op3_url_filters,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_toxicity": op5_toxicity,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_mixing": op9_mixing,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL = {
