@@ -63,7 +63,7 @@ def format_human_duration(x: Column) -> Column:
             second = part(i + 1)
             first = F.concat(first, F.when(second > 0, F.concat(F.lit(" "), second.cast("string"), F.lit(units[i + 1][0]))).otherwise(""))
         text = F.when(part(i) > 0, first).otherwise(text)
-    return F.concat(F.when(ns < 0, "-").otherwise(""), text)
+    return F.when(ns.isNotNull(), F.concat(F.when(ns < 0, "-").otherwise(""), text))
 
 
 def format_hex(x: Column) -> Column:
