@@ -93,8 +93,8 @@ pairs AS MATERIALIZED (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS MATERIALIZED (
   SELECT p.a, p.b FROM pairs p JOIN sets x ON x.doc_id = p.a JOIN sets y ON y.doc_id = p.b WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
-both AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(d, r) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.d, both.b FROM reach JOIN both ON both.a = reach.r),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(d, r) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.d, edges.b FROM reach JOIN edges ON edges.a = reach.r),
 low AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d),
 class AS (SELECT doc_id, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(s)) END AS class_id FROM sets)
 SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, class_id
