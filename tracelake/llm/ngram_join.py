@@ -9,16 +9,17 @@ Steps, all of them Spark jobs over the whole table:
    one group for each shared shingle by few groups for each class.
 4. Large leader groups are cut into tiles of size bands and hashed blocks, so no task holds a whole group. Sizes more than 1/t
    apart never meet.
-5. In a tile the parity bitmaps bound each overlap from above; what passes in any tile keeps its shingles, the others do not.
-6. Tiles of what is left compare sorted arrays exactly, and skip pairs already joined within the tile. Links are true links, and
-   every true link joins two documents of one component.
+5. In a tile the parity bitmaps bound each overlap from above. Pairs that pass join documents to likely groups; each document
+   is in one at most, and only there does its text travel.
+6. Tiles of the likely groups compare sorted arrays exactly, and skip pairs already joined within the tile. Links are true links,
+   and every true link joins two documents of one component.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm import bytesnp
@@ -26,19 +27,23 @@ from tracelake.llm.common import connected_components, stage_table
 
 HOT_BLOCK = 1 << 21  # shingles counted together in a task
 HOT_LOCAL = 16  # a shingle is common if it has this mean count a block; so at most HOT_BLOCK / HOT_LOCAL are common
-TILE = 512
+TILE = 8192  # documents of one side of a tile of bitmaps, of two bits and up to four a shingle
+TEXT_TILE = 8192  # ... of a tile of texts
+ROUGH, SHARP = 2, 8  # bits for each shingle of bitmaps that travel, and of those made within a tile
+BROADCAST_ROWS = 500_000  # ids and tiles, 64 bytes a row; beyond, a shuffled join
 
 
-def bits_for(n: int) -> int:
-    return min(4096, max(64, 1 << (2 * int(n) - 1).bit_length())) if n else 64
+def bits_for(n: int, by: int) -> int:
+    """A power of two of at least ``by`` bits for each shingle."""
+    return max(64, 1 << (by * max(int(n), 1) - 1).bit_length())
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
-def _bitmap(u: np.ndarray) -> bytes:
-    bits = bits_for(len(u))
+def _bitmap(u: np.ndarray, by: int = ROUGH) -> bytes:
+    bits = bits_for(len(u), by)
     odd = np.bincount((u & bytesnp.U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -73,55 +78,91 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(rows["tok"].to_numpy(np.int64).view(bytesnp.U))
 
 
+def _sums(u: np.ndarray) -> tuple:
+    """Two sums that name a set."""
+    return u.sum(dtype=bytesnp.U), bytesnp.mix(u ^ bytesnp.U(0x5851F42D4C957F2D)).sum(dtype=bytesnp.U)
+
+
+def _signed(x: list) -> pa.Array:
+    return pa.array(np.array(x, bytesnp.U).view(np.int64))
+
+
+def digests(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, size of the shingle set and the sums that name it."""
+
+    def name(batches):
+        for batch in batches:
+            for at, to, data, offs in bytesnp.pieces(batch.column(1)):
+                sets = bytesnp.shingle_sets(data, offs, k)
+                d1, d2 = zip(*map(_sums, sets))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], pa.array([len(u) for u in sets], pa.int64()), _signed(d1), _signed(d2)], names=["doc_id", "n", "d1", "d2"])
+
+    return docs.select("doc_id", "text").mapInArrow(name, "doc_id long, n long, d1 long, d2 long")
+
+
 def signatures(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, two sums that name the set, the prefix, and the parity bitmap."""
+    """:func:`digests` with the prefix and the parity bitmap of each set."""
 
     def sign(batches):
         for batch in batches:
             for at, to, data, offs in bytesnp.pieces(batch.column(1)):
-                n, d1, d2, toks, maps = [], [], [], [], []
-                for u in bytesnp.shingle_sets(data, offs, k):
-                    n.append(len(u))
-                    d1.append(u.sum(dtype=bytesnp.U))
-                    d2.append(bytesnp.mix(u ^ bytesnp.U(0x5851F42D4C957F2D)).sum(dtype=bytesnp.U))
+                sets = bytesnp.shingle_sets(data, offs, k)
+                d1, d2 = zip(*map(_sums, sets))
+                toks = []
+                for u in sets:
                     late = np.isin(u, common, assume_unique=True) if len(common) else np.zeros(len(u), bool)
                     first = np.concatenate([u[~late], u[late]]) if late.any() else u
                     toks.append(first[: prefix_length(len(u), num, den) if len(u) else 0])
-                    maps.append(_bitmap(u))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], pa.array(n, pa.int64()), pa.array(np.array(d1, bytesnp.U).view(np.int64)), pa.array(np.array(d2, bytesnp.U).view(np.int64)), bytesnp.lists(toks), pa.array(maps, pa.binary())], names=["doc_id", "n", "d1", "d2", "toks", "bitmap"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], pa.array([len(u) for u in sets], pa.int64()), _signed(d1), _signed(d2), bytesnp.lists(toks), pa.array([_bitmap(u) for u in sets], pa.binary())], names=["doc_id", "n", "d1", "d2", "toks", "bitmap"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, d1 long, d2 long, toks array<long>, bitmap binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, d1 long, d2 long, toks array<long>, bitmap binary")
 
 
-def tiles(members: DataFrame, num: int, den: int) -> DataFrame:
+def tiles(members: DataFrame, num: int, den: int, most: int) -> DataFrame:
     """Deal ``members(lead, doc, n, ...)`` to tiles: one for a small group, else size bands times pairs of hashed blocks."""
-    size = members.groupBy("lead").agg(F.count("*").alias("size"))
-    big = size.where(F.col("size") > TILE)
-    m = members.join(big, "lead", "left").withColumn("k", F.ceil(F.col("size") / TILE).cast("int")).withColumn("band", F.floor(F.log("n") / float(np.log(den / num))).cast("int")).withColumn("s", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
+    members = members.withColumn("band", F.floor(F.log("n") / float(np.log(den / num))).cast("int"))
+    size = members.groupBy("lead").agg(F.count("*").alias("size"), F.collect_set("band").alias("bands"))
+    big = size.where(F.col("size") > most)
+    m = members.join(big, "lead", "left").withColumn("k", F.ceil(F.col("size") / most).cast("int")).withColumn("s", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
     one = F.array(F.struct(F.lit(0).alias("b"), F.lit(-1).alias("t"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
-    many = F.expr("""flatten(transform(sequence(0, k - 1), x -> array(
+    many = F.expr("""flatten(transform(sequence(0, k - 1), x -> filter(array(
         named_struct('b', band, 't', 0, 'i', least(s, x), 'j', greatest(s, x), 'side', if(s <= x, 0, 1)),
-        named_struct('b', band, 't', 1, 'i', s, 'j', x, 'side', 0),
-        named_struct('b', band - 1, 't', 1, 'i', x, 'j', s, 'side', 1))))""")
-    return m.withColumn("tile", F.explode(F.when(F.col("k").isNull(), one).otherwise(many))).select("*", "tile.*").drop("tile", "size", "k", "band", "s")
+        if(array_contains(bands, band + 1), named_struct('b', band, 't', 1, 'i', s, 'j', x, 'side', 0), null),
+        if(array_contains(bands, band - 1), named_struct('b', band - 1, 't', 1, 'i', x, 'j', s, 'side', 1), null)), y -> y is not null)))""")
+    return m.withColumn("tile", F.explode(F.when(F.col("k").isNull(), one).otherwise(many))).select("*", "tile.*").drop("tile", "size", "bands", "k", "band", "s")
 
 
-def _stack(maps: list[bytes]) -> np.ndarray:
-    """Bitmaps as rows of words, folded by exclusive or to the shortest length."""
-    least = min(map(len, maps))
-    out = np.empty((len(maps), least // 8), np.uint64)
-    for i, x in enumerate(maps):
-        b = np.frombuffer(x, np.uint64).reshape(-1, least // 8)
-        out[i] = np.bitwise_xor.reduce(b, 0)
-    return out
+class Bitmaps:
+    """Bitmaps of a tile by their length; two lengths meet at the shorter, the longer folded by exclusive or.
 
+    Sets that can link differ in size by less than two, so a bitmap is needed at its own length and at half of it.
+    """
 
-def _candidates(table: pa.Table, num: int, den: int):
+    def __init__(self, maps: list[bytes]):
+        self.level = np.array([len(x) // 8 for x in maps])
+        self.rows: dict[int, np.ndarray] = {}
+        self.place: dict[int, np.ndarray] = {}
+        for words in np.unique(self.level).tolist():
+            held = np.flatnonzero((self.level == words) | (self.level == 2 * words))
+            self.place[words] = np.full(len(maps), -1)
+            self.place[words][held] = np.arange(len(held))
+            self.rows[words] = np.array([np.bitwise_xor.reduce(np.frombuffer(maps[i], np.uint64).reshape(-1, words), 0) for i in held])
+
+    def differ(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Bits in which i and each of js differ: at most the size of their symmetric difference."""
+        out = np.zeros(len(js), np.int64)
+        meet = np.minimum(self.level[js], self.level[i])
+        for words in np.unique(meet).tolist():
+            at = np.flatnonzero(meet == words)
+            rows, place = self.rows[words], self.place[words]
+            out[at] = np.bitwise_count(rows[place[js[at]]] ^ rows[place[i]]).sum(1, dtype=np.int64)
+        return out
+
+
+def _candidates(table: pa.Table, maps: Bitmaps, num: int, den: int):
     """Yield (row i, rows j after it or on the other side) for pairs that the bitmaps cannot rule out."""
     n = table.column("n").to_numpy()
     side = table.column("side").to_numpy()
-    doc = table.column("doc").to_numpy()
-    maps = _stack(table.column("bitmap").to_pylist())
     t, i0, j0 = (table.column(c)[0].as_py() for c in ("t", "i", "j"))
     split = t == 1 or t == 0 and i0 != j0
     order = np.argsort(n, kind="stable")
@@ -132,55 +173,72 @@ def _candidates(table: pa.Table, num: int, den: int):
         a, b = np.searchsorted(rn, -(-n[i] * num // den)) if split else p + 1, np.searchsorted(rn, n[i] * den // num, "right")
         for c in range(a, b, 4096):
             js = right[c : min(b, c + 4096)]
-            differ = np.bitwise_count(maps[js] ^ maps[i]).sum(1, dtype=np.int64)
             both = n[i] + n[js]
             # overlap <= (both - differ) / 2 and a link needs overlap >= both * num / (num + den)
-            js = js[((both - differ) * (num + den) >= 2 * num * both) & (doc[js] != doc[i])]
+            js = js[(both - maps.differ(i, js)) * (num + den) >= 2 * num * both]
             if len(js):
                 yield int(i), js
 
 
-def _survivors(num: int, den: int):
+def _join(head: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
+    """Give the groups of js the head of i; returns a j of each group that was another."""
+    heads, at = np.unique(head[js], return_index=True)
+    new = heads != head[i]
+    if new.any():
+        head[np.isin(head, heads[new])] = head[i]
+    return js[at[new]]
+
+
+def _pairs(doc: np.ndarray, a: list[int], b: list[int]) -> dict[str, pa.Array]:
+    return {"a": pa.array(doc[np.array(a, np.int64)]), "b": pa.array(doc[np.array(b, np.int64)])}
+
+
+def _joined(num: int, den: int):
+    """Pairs that join the documents of a tile which the bitmaps let pass: at most one for each document."""
+
     def run(table: pa.Table) -> pa.Table:
-        alive = np.zeros(table.num_rows, bool)
+        head = np.arange(table.num_rows)
+        a, b = [], []
         if table.num_rows > 1:
-            for i, js in _candidates(table, num, den):
-                alive[i] = True
-                alive[js] = True
-        return table.filter(pa.array(alive)).select(["lead", "doc"])
+            for i, js in _candidates(table, Bitmaps(table.column("bitmap").to_pylist()), num, den):
+                new = _join(head, i, js)
+                a += [i] * len(new)
+                b += new.tolist()
+        return pa.table(_pairs(table.column("doc").to_numpy(), a, b))
 
     return run
 
 
-def _links(num: int, den: int):
-    def run(table: pa.Table) -> pa.Table:
-        doc, n = table.column("doc").to_numpy(), table.column("n").to_numpy()
-        sets: dict[int, np.ndarray] = {}
-        raw = table.column("items")
-
-        def items(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = np.frombuffer(raw[i].as_py(), np.uint64)
-            return sets[i]
+def _links(k: int, num: int, den: int):
+    """True links of a tile; pairs that are joined already are not compared."""
 
-        head = np.arange(len(doc))
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sets = [u for _, _, data, offs in bytesnp.pieces(table.column("text")) for u in bytesnp.shingle_sets(data, offs, k)]
+        n = np.array([len(u) for u in sets])
+        start = np.concatenate([[0], np.cumsum(n)])
+        shingles, item = np.unique(np.concatenate(sets), return_inverse=True)
+        head, inside = np.arange(len(sets)), np.zeros(len(shingles), bool)
         a, b, both = [], [], []
-        if table.num_rows > 1:
-            for i, js in _candidates(table, num, den):
-                for j in js[head[js] != head[i]]:
-                    if head[j] == head[i]:
-                        continue
-                    x, y = (i, j) if n[i] <= n[j] else (j, i)
-                    x, y = items(x), items(y)
-                    at = np.searchsorted(y, x)
-                    at[at == len(y)] = 0
-                    inter = int((y[at] == x).sum())
-                    if den * inter >= num * (int(n[i]) + int(n[j]) - inter):
-                        a.append(doc[i])
-                        b.append(doc[j])
-                        both.append(inter)
-                        head[head == head[j]] = head[i]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "overlap": pa.array(both, pa.int64())})
+        if len(sets) > 1:
+            for i, js in _candidates(table, Bitmaps([_bitmap(u, SHARP) for u in sets]), num, den):
+                js = js[head[js] != head[i]]
+                if not len(js):
+                    continue
+                inside[item[start[i] : start[i + 1]]] = True
+                # the sets of all js one after another; each set's overlap is a sum over its stretch
+                size = n[js]
+                ends = np.cumsum(size)
+                place = np.arange(ends[-1]) + np.repeat(start[js] - (ends - size), size)
+                overlap = np.add.reduceat(inside[item[place]].astype(np.int64), ends - size)
+                inside[item[start[i] : start[i + 1]]] = False
+                true = den * overlap >= num * (n[i] + size - overlap)
+                held = dict(zip(js[true].tolist(), overlap[true].tolist()))
+                new = _join(head, i, js[true]).tolist()
+                a += [i] * len(new)
+                b += new
+                both += [held[j] for j in new]
+        return pa.table(_pairs(table.column("doc").to_numpy(), a, b) | {"overlap": pa.array(both, pa.int64())})
 
     return run
 
@@ -193,32 +251,27 @@ def ngram_jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
     Null or empty texts have no shingles and link with nothing; rows without doc_id keep their size and have no rep. Rows that
     share a doc_id are one document of the graph. Other columns are ignored. An empty table gives empty tables.
     """
-    known = docs.select("doc_id", "text")
-    sig = signatures(known, k, num, den, common_shingles(known, k))
-    digest = stage_table(sig, "signatures")
-    keyed = digest.where("n > 0 and doc_id is not null")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = signatures(known, k, num, den, common_shingles(known, k)).where("n > 0 and doc_id is not null")
     classes = keyed.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("toks", "bitmap"), "doc_id").alias("x"))
     classes = stage_table(classes.select("n", "d1", "d2", "rep", "x.toks", "x.bitmap"), "classes")
-    listed = classes.select(F.col("rep").alias("doc"), F.explode("toks").alias("tok"))
-    lead = listed.groupBy("tok").agg(F.min("doc").alias("lead"), F.count("*").alias("c")).where("c > 1").select("tok", "lead")
-    groups = stage_table(listed.join(lead, "tok").select("lead", "doc").distinct(), "groups")
-    groups = groups.join(classes.select(F.col("rep").alias("doc"), "n", "bitmap"), "doc")
+    one = classes.select(F.col("rep").alias("doc"), "n", "bitmap")
+    # the running smallest of a sorted partition: rows stream through, no group is held
+    order = Window.partitionBy("tok").orderBy("doc")
+    listed = classes.select(F.col("rep").alias("doc"), F.explode("toks").alias("tok")).withColumn("lead", F.first("doc").over(order))
+    found = stage_table(listed.where("doc <> lead").select("lead", "doc").distinct(), "groups")
+    groups = found.unionByName(found.select("lead", F.col("lead").alias("doc")).distinct()).join(one, "doc")
     tile = ["lead", "b", "t", "i", "j"]
-    alive = tiles(groups, num, den).groupBy(*tile).applyInArrow(_survivors(num, den), "lead long, doc long").distinct()
-    alive = stage_table(alive.join(classes.select(F.col("rep").alias("doc"), "n", "bitmap"), "doc"), "alive")
-
-    def items(batches):
-        for batch in batches:
-            for at, to, data, offs in bytesnp.pieces(batch.column(1)):
-                rows = [u.tobytes() for u in bytesnp.shingle_sets(data, offs, k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], pa.array(rows, pa.binary())], names=["doc", "items"])
-
-    wanted = alive.select(F.col("doc").alias("doc_id")).distinct()
-    sets = known.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(items, "doc long, items binary").dropDuplicates(["doc"])
-    links = tiles(alive.join(sets, "doc"), num, den).groupBy(*tile).applyInArrow(_links(num, den), "a long, b long, overlap long")
-    members = digest.join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    members = members.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.col("rep")))
-    return members, stage_table(links, "links")
+    likely = tiles(groups, num, den, TILE).groupBy(*tile).applyInArrow(_joined(num, den), "a long, b long")
+    part = stage_table(connected_components(likely).select(F.col("node").alias("doc_id"), F.col("label").alias("lead")), "likely")
+    # texts meet their tiles last: only ids and sizes are dealt, and a text is shuffled once
+    dealt = tiles(part.join(one.select(F.col("doc").alias("doc_id"), "n"), "doc_id").withColumnRenamed("doc_id", "doc"), num, den, TEXT_TILE)
+    dealt = stage_table(dealt.withColumnRenamed("doc", "doc_id"), "dealt")
+    texts = known.join(F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt, "doc_id").withColumnRenamed("doc_id", "doc")
+    links = texts.groupBy(*tile).applyInArrow(_links(k, num, den), "a long, b long, overlap long")
+    links = stage_table(links, "links")
+    members = digests(known, k).join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left")
+    return members.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), links
 
 
 def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
