@@ -30,6 +30,7 @@ HOT_LOCAL = 16  # a shingle is common if it has this mean count a block; so at m
 TILE = 8192  # documents of one side of a tile of bitmaps, of two bits and up to four a shingle
 TEXT_TILE = 8192  # ... of a tile of texts
 ROUGH, SHARP = 2, 8  # bits for each shingle of bitmaps that travel, and of those made within a tile
+SALTS = 64  # parts of a large group that meet its size
 BROADCAST_ROWS = 500_000  # ids and tiles, 64 bytes a row; beyond, a shuffled join
 
 
@@ -119,17 +120,21 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray)
 
 
 def tiles(members: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """Deal ``members(lead, doc, n, ...)`` to tiles: one for a small group, else size bands times pairs of hashed blocks."""
-    members = members.withColumn("band", F.floor(F.log("n") / float(np.log(den / num))).cast("int"))
+    """Deal ``members(lead, doc, n, ...)`` to tiles: one for a small group, else size bands times pairs of hashed blocks.
+
+    The sizes of large groups, at most a row for ``most`` members, meet their members by lead and salt: a large group is spread
+    over tasks here, and its tiles are shuffled apart afterwards and don't stay where their lead is.
+    """
+    members = members.withColumn("band", F.floor(F.log("n") / float(np.log(den / num))).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
     size = members.groupBy("lead").agg(F.count("*").alias("size"), F.collect_set("band").alias("bands"))
-    big = size.where(F.col("size") > most)
-    m = members.join(big, "lead", "left").withColumn("k", F.ceil(F.col("size") / most).cast("int")).withColumn("s", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
+    big = size.where(F.col("size") > most).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    m = members.join(big, ["lead", "salt"], "left").withColumn("k", F.ceil(F.col("size") / most).cast("int")).withColumn("s", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
     one = F.array(F.struct(F.lit(0).alias("b"), F.lit(-1).alias("t"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
     many = F.expr("""flatten(transform(sequence(0, k - 1), x -> filter(array(
         named_struct('b', band, 't', 0, 'i', least(s, x), 'j', greatest(s, x), 'side', if(s <= x, 0, 1)),
         if(array_contains(bands, band + 1), named_struct('b', band, 't', 1, 'i', s, 'j', x, 'side', 0), null),
         if(array_contains(bands, band - 1), named_struct('b', band - 1, 't', 1, 'i', x, 'j', s, 'side', 1), null)), y -> y is not null)))""")
-    return m.withColumn("tile", F.explode(F.when(F.col("k").isNull(), one).otherwise(many))).select("*", "tile.*").drop("tile", "size", "bands", "k", "band", "s")
+    return m.withColumn("tile", F.explode(F.when(F.col("k").isNull(), one).otherwise(many))).select("*", "tile.*").drop("tile", "size", "bands", "k", "band", "s", "salt")
 
 
 class Bitmaps:
