@@ -2,6 +2,7 @@ import shutil
 import subprocess
 
 import pytest
+from pyspark.sql import types as T
 
 from tracelake.engine import Engine
 from tracelake.sources import ingest, lake, recording
@@ -58,3 +59,46 @@ def test_import_and_views(spark, file, tmp_path):
     assert collections.count() == engine.tables["GarbageCollection"].count() > 0
     assert engine.query("jvm-information").first()["Name"].startswith("OpenJDK")
     assert engine.query("gc-pauses").first()["Number of Pauses"] > 0
+
+
+LATER = """
+public class Later {
+  @jdk.jfr.Name("test.Marker") @jdk.jfr.Label("A Marker") static class Marker extends jdk.jfr.Event { int number; String word; }
+  public static void main(String[] a) throws Exception {
+    for (int i = 0; i < 7; i++) { Marker m = new Marker(); m.number = i; m.word = "w" + i; m.commit(); } } }
+"""
+
+
+@pytest.fixture(scope="module")
+def rotated(file, tmp_path_factory):
+    """A file of more chunks, whose first one neither holds nor describes test.Marker."""
+    folder = tmp_path_factory.mktemp("rotated")
+    (folder / "Later.java").write_text(LATER)
+    subprocess.run(["java", f"-XX:StartFlightRecording=filename={folder}/later.jfr", str(folder / "Later.java")], check=True, capture_output=True, timeout=120)
+    with open(folder / "all.jfr", "wb") as out:
+        for part in (file, folder / "later.jfr"):
+            with open(part, "rb") as f:
+                shutil.copyfileobj(f, out)
+    return str(folder / "all.jfr")
+
+
+def test_events_of_later_chunks(spark, file, rotated):
+    assert len(recording.chunks(rotated)) > len(recording.chunks(file))
+    assert "test.Marker" not in recording.event_types(file) and recording.event_types(rotated)["test.Marker"] == "A Marker"
+    recording.register(spark)
+    marks = spark.read.format("recording").option("event", "test.Marker").load(rotated).orderBy("_seq").collect()
+    assert [(r["number"], r["word"]) for r in marks] == [(i, f"w{i}") for i in range(7)]
+    known = ingest.tables(spark, rotated)
+    assert known["test.Marker"].count() == 7
+    assert known["Events"].where("name = 'test.Marker'").first()["count"] == 7
+    readers = [recording.load(c) for c in recording.chunks(rotated)]
+    assert known["RecordingInfo"].first()["eventCount"] == sum(1 for r in readers for e in recording.event_types(rotated) for _ in r.events(e))
+
+
+def test_types_of_chunks_merge_by_name():
+    a = T.StructType([T.StructField("x", T.IntegerType(), True, {"kind": "int"}), T.StructField("s", T.StructType([T.StructField("p", T.LongType())]))])
+    b = T.StructType([T.StructField("y", T.StringType()), T.StructField("x", T.LongType(), True, {"kind": "long"}), T.StructField("s", T.StructType([T.StructField("q", T.LongType())]))])
+    both = recording.union(a, b)
+    assert both.simpleString() == "struct<x:bigint,s:struct<p:bigint,q:bigint>,y:string>"
+    assert recording.fit((5,), b["s"].dataType, both["s"].dataType) == (None, 5)
+    assert recording.fit(3, T.IntegerType(), T.DoubleType()) == 3.0 and recording.fit(3, T.IntegerType(), T.StringType()) == "3"

@@ -90,9 +90,9 @@ def encode_events(df: DataFrame, depth: int = lake.FRAMES) -> DataFrame:
 
 def tables(spark: SparkSession, path: str, depth: int = lake.FRAMES) -> dict[str, DataFrame]:
     """All tables of a recording file: events, dictionaries and registers. Read lazily, once for each action."""
-    recording.register(spark)
-    labels = recording.event_types(path)
-    raw = {table_name(e): spark.read.format("recording").option("event", e).load(path) for e in labels}
+    types = recording.described(spark, path)
+    labels = {e: t.label for e, t in types.items() if t.seen}
+    raw = {table_name(e): spark.read.format("recording").schema(recording.event_schema(types[e].fields)).option("event", e).load(path) for e in labels}
     events = {n: encode_events(df, depth) for n, df in raw.items()}
     held: dict[str, list[DataFrame]] = {}
     for df in raw.values():
