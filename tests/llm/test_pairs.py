@@ -1,6 +1,7 @@
 """The joins and searches on texts against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -71,6 +72,32 @@ def test_ngram_join(spark, monkeypatch, small):
     assert got == components(rows)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_ngram_join_gives_every_link(spark, monkeypatch, small):
+    if small:
+        for name in ("TILE", "TEXT_TILE", "PART"):
+            monkeypatch.setattr(ngram_join, name, 7)
+    rows = [*corpus(), (3, "q1 q2 q3 q4 q5 q6"), (3, corpus()[4][1] + " more")]  # two rows share a doc_id with a third
+    for docs in (rows[:-2], rows):
+        class_of, sets = {}, defaultdict(list)
+        for d, t in docs:
+            sets[frozenset(shingles(t))].append(d)
+        class_of = {x: min(ds) for x, ds in sets.items() if x}
+        want = defaultdict(int)
+        for (x, a), (y, b) in itertools.combinations(class_of.items(), 2):
+            both = len(x & y)
+            if a != b and 100 * both >= 80 * (len(x) + len(y) - both):
+                want[min(a, b), max(a, b)] = max(want[min(a, b), max(a, b)], both)
+        table = spark.createDataFrame(docs, "doc_id long, text string")
+        _, links = ngram_join.ngram_jaccard_links(table)
+        got = [tuple(r) for r in links.collect()]
+        assert len(got) == len(set(got)) and {(a, b): n for a, b, n in got} == want
+        assert len(want) > len({d for pair in want for d in pair})
+        n_links = Counter(d for pair in want for d in pair)
+        counted = ngram_join.ngram_jaccard_components(table).collect()
+        assert all(r["n_links"] == n_links[r["class_id"]] for r in counted)
+
+
 def test_ngram_join_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.ngram_jaccard_components(empty).count() == 0

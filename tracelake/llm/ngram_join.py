@@ -11,12 +11,14 @@ Steps, all of them Spark jobs over the whole table:
    apart never meet.
 5. In a tile the parity bitmaps bound each overlap from above. Pairs that pass join documents to likely groups; each document
    is in one at most, and only there does its text travel.
-6. Tiles of the likely groups compare sorted arrays exactly, and skip pairs already joined within the tile. Links are true links,
-   and every true link joins two documents of one component.
+6. Tiles of the likely groups compare every pair that sharper bitmaps let pass exactly. A pair meets in one tile, so each true
+   link is found once; :func:`ngram_jaccard_links` gives them all, :func:`ngram_jaccard_components` counts them for each document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,8 +31,10 @@ HOT_BLOCK = 1 << 21  # shingles counted together in a task
 HOT_LOCAL = 16  # a shingle is common if it has this mean count a block; so at most HOT_BLOCK / HOT_LOCAL are common
 TILE = 8192  # documents of one side of a tile of bitmaps, of two bits and up to four a shingle
 TEXT_TILE = 8192  # ... of a tile of texts
+TILE_KEY = ["lead", "b", "t", "i", "j"]
 ROUGH, SHARP = 2, 8  # bits for each shingle of bitmaps that travel, and of those made within a tile
 SALTS = 64  # parts of a large group that meet its size
+PART = 1 << 20  # shingles compared, and links given out, at once
 BROADCAST_ROWS = 500_000  # ids and tiles, 64 bytes a row; beyond, a shuffled join
 
 
@@ -214,48 +218,92 @@ def _joined(num: int, den: int):
     return run
 
 
+def _true(table: pa.Table, k: int, num: int, den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Yield (row i, rows j, overlaps) of the true links of a tile, each link once."""
+    sets = [u for _, _, data, offs in bytesnp.pieces(table.column("text")) for u in bytesnp.shingle_sets(data, offs, k)]
+    if len(sets) < 2:
+        return
+    doc = table.column("doc").to_numpy()
+    _, place, times = np.unique(doc, return_inverse=True, return_counts=True)
+    twice, met = times[place] > 1, set()  # rows that share a doc_id meet others more than once
+    n = np.array([len(u) for u in sets])
+    shingles, item, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[item] > 1  # a shingle of one set only is in no overlap
+    item = item[shared]
+    start = np.concatenate([[0], np.cumsum(shared)])[np.concatenate([[0], np.cumsum(n)])]
+    held, inside = np.diff(start), np.zeros(len(shingles), bool)
+    for i, js in _candidates(table, Bitmaps([_bitmap(u, SHARP) for u in sets]), num, den):
+        js = js[(held[js] > 0) & (doc[js] != doc[i])]
+        inside[item[start[i] : start[i + 1]]] = True
+        ends = np.cumsum(held[js])
+        for part in np.split(js, np.flatnonzero(np.diff(ends // PART)) + 1):
+            if not len(part):
+                continue
+            # the sets of a part one after another; each set's overlap is a sum over its stretch
+            size = held[part]
+            to = np.cumsum(size)
+            at = np.arange(to[-1]) + np.repeat(start[part] - (to - size), size)
+            overlap = np.add.reduceat(inside[item[at]].astype(np.int64), to - size)
+            true = den * overlap >= num * (n[i] + n[part] - overlap)
+            if twice.any():
+                for x in np.flatnonzero(true & (twice[part] | twice[i])).tolist():
+                    pair = tuple(sorted((int(doc[i]), int(doc[part[x]]))))
+                    true[x] = pair not in met
+                    met.add(pair)
+            if true.any():
+                yield i, part[true], overlap[true]
+        inside[item[start[i] : start[i + 1]]] = False
+
+
 def _links(k: int, num: int, den: int):
-    """True links of a tile; pairs that are joined already are not compared."""
+    """All true links of a tile, a < b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        doc = table.column("doc").to_numpy()
+        held, n = [], 0
+
+        def flush():
+            a, b, both = (np.concatenate(x) for x in zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(both)], names=["a", "b", "overlap"])
+
+        for i, js, overlap in _true(table, k, num, den):
+            held.append((np.full(len(js), doc[i]), doc[js], overlap))
+            n += len(js)
+            if n >= PART:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    return run
+
+
+def _counts(k: int, num: int, den: int):
+    """For each document of a tile that has true links their number (b is null), and links that join what they all join (n is null)."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        sets = [u for _, _, data, offs in bytesnp.pieces(table.column("text")) for u in bytesnp.shingle_sets(data, offs, k)]
-        n = np.array([len(u) for u in sets])
-        start = np.concatenate([[0], np.cumsum(n)])
-        shingles, item = np.unique(np.concatenate(sets), return_inverse=True)
-        head, inside = np.arange(len(sets)), np.zeros(len(shingles), bool)
-        a, b, both = [], [], []
-        if len(sets) > 1:
-            for i, js in _candidates(table, Bitmaps([_bitmap(u, SHARP) for u in sets]), num, den):
-                js = js[head[js] != head[i]]
-                if not len(js):
-                    continue
-                inside[item[start[i] : start[i + 1]]] = True
-                # the sets of all js one after another; each set's overlap is a sum over its stretch
-                size = n[js]
-                ends = np.cumsum(size)
-                place = np.arange(ends[-1]) + np.repeat(start[js] - (ends - size), size)
-                overlap = np.add.reduceat(inside[item[place]].astype(np.int64), ends - size)
-                inside[item[start[i] : start[i + 1]]] = False
-                true = den * overlap >= num * (n[i] + size - overlap)
-                held = dict(zip(js[true].tolist(), overlap[true].tolist()))
-                new = _join(head, i, js[true]).tolist()
-                a += [i] * len(new)
-                b += new
-                both += [held[j] for j in new]
-        return pa.table(_pairs(table.column("doc").to_numpy(), a, b) | {"overlap": pa.array(both, pa.int64())})
+        doc = table.column("doc").to_numpy()
+        head, n = np.arange(len(doc)), np.zeros(len(doc), np.int64)
+        a, b = [], []
+        for i, js, _ in _true(table, k, num, den):
+            n[i] += len(js)
+            n[js] += 1
+            new = _join(head, i, js)
+            a += [i] * len(new)
+            b += new.tolist()
+        some = np.flatnonzero(n)
+        out = _pairs(doc, [*a, *some.tolist()], [*b, *some.tolist()])
+        link = np.arange(len(a) + len(some)) < len(a)
+        out["b"] = pa.array(out["b"].to_numpy(), mask=~link)
+        return pa.table(out | {"n": pa.array(np.concatenate([np.zeros(len(a), np.int64), n[some]]), mask=link)})
 
     return run
 
 
-def ngram_jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Classes and links of ``docs(doc_id, text, ...)`` under Jaccard >= num/den on k-word shingles.
-
-    Returns ``members(doc_id, n, rep)``, one row for each row of docs (rep: the smallest doc_id with the same set; itself where
-    the set is empty), and ``links(a, b, overlap)`` between class representatives: true links that join what belongs together.
-    Null or empty texts have no shingles and link with nothing; rows without doc_id keep their size and have no rep. Rows that
-    share a doc_id are one document of the graph. Other columns are ignored. An empty table gives empty tables.
-    """
+def _dealt(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Members of ``docs``, the texts of class representatives in their tiles, and whether a pair can meet in more than one."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = signatures(known, k, num, den, common_shingles(known, k)).where("n > 0 and doc_id is not null")
     classes = keyed.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("toks", "bitmap"), "doc_id").alias("x"))
@@ -266,24 +314,54 @@ def ngram_jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
     listed = classes.select(F.col("rep").alias("doc"), F.explode("toks").alias("tok")).withColumn("lead", F.first("doc").over(order))
     found = stage_table(listed.where("doc <> lead").select("lead", "doc").distinct(), "groups")
     groups = found.unionByName(found.select("lead", F.col("lead").alias("doc")).distinct()).join(one, "doc")
-    tile = ["lead", "b", "t", "i", "j"]
-    likely = tiles(groups, num, den, TILE).groupBy(*tile).applyInArrow(_joined(num, den), "a long, b long")
+    likely = tiles(groups, num, den, TILE).groupBy(*TILE_KEY).applyInArrow(_joined(num, den), "a long, b long")
     part = stage_table(connected_components(likely).select(F.col("node").alias("doc_id"), F.col("label").alias("lead")), "likely")
     # texts meet their tiles last: only ids and sizes are dealt, and a text is shuffled once
     dealt = tiles(part.join(one.select(F.col("doc").alias("doc_id"), "n"), "doc_id").withColumnRenamed("doc_id", "doc"), num, den, TEXT_TILE)
     dealt = stage_table(dealt.withColumnRenamed("doc", "doc_id"), "dealt")
     texts = known.join(F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt, "doc_id").withColumnRenamed("doc_id", "doc")
-    links = texts.groupBy(*tile).applyInArrow(_links(k, num, den), "a long, b long, overlap long")
-    links = stage_table(links, "links")
     members = digests(known, k).join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left")
-    return members.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), links
+    members = members.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+    sizes = dealt.groupBy("doc_id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    return members, texts, not sizes.where("least < most").isEmpty()
+
+
+def _all_links(texts: DataFrame, again: bool, k: int, num: int, den: int) -> DataFrame:
+    links = texts.groupBy(*TILE_KEY).applyInArrow(_links(k, num, den), "a long, b long, overlap long")
+    return links.groupBy("a", "b").agg(F.max("overlap").alias("overlap")) if again else links
+
+
+def ngram_jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Classes and links of ``docs(doc_id, text, ...)`` under Jaccard >= num/den on k-word shingles.
+
+    Returns ``members(doc_id, n, rep)``, one row for each row of docs (rep: the smallest doc_id with the same set; itself where
+    the set is empty), and ``links(a, b, overlap)``: every true link between class representatives, once, with a < b. n near copies
+    of one another have n (n - 1) / 2 links, so links are not stored here; each action on them compares again.
+    Null or empty texts have no shingles and link with nothing; rows without doc_id keep their size and have no rep. Rows that
+    share a doc_id are one document of the graph. Other columns are ignored. An empty table gives empty tables.
+    """
+    members, texts, again = _dealt(docs, k, num, den)
+    return members, _all_links(texts, again, k, num, den)
 
 
 def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and class_id, a row for each row of docs."""
-    members, links = ngram_jaccard_links(docs, k, num, den)
+    """A row for each row of docs: doc_id, n_shingles, component_id, class_id and n_links.
+
+    component_id is the smallest doc_id reachable by links; n_links counts the links of its class representative, that is the
+    other classes whose sets are near (null without doc_id). Tiles compare all pairs and give the counts out, not the pairs.
+    """
+    members, texts, again = _dealt(docs, k, num, den)
+    if again:
+        links = stage_table(_all_links(texts, again, k, num, den), "links")
+        counts = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
+    else:
+        links = stage_table(texts.groupBy(*TILE_KEY).applyInArrow(_counts(k, num, den), "a long, b long, n long"), "links")
+        counts = links.where("b is null").groupBy("a").agg(F.sum("n").alias("n_links"))
+        links = links.where("b is not null")
     labels = connected_components(links.select("a", "b")).select(F.col("node").alias("rep"), "label")
-    return members.join(labels, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"), F.col("rep").alias("class_id"))
+    found = labels.join(counts.withColumnRenamed("a", "rep"), "rep")
+    out = members.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"), F.col("rep").alias("class_id"), "n_links")
+    return out.withColumn("n_links", F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0).cast("long"))))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
