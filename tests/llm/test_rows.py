@@ -232,6 +232,46 @@ def test_chat_repair(spark, block):
     assert chat.repair_roles(talks.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 256])
+def test_chat_text(spark, block):
+    random.seed(7)
+    kinds = ["user", "assistant", "system", "tool", None]
+    rows = [(c, t, random.choice(kinds), f"t{c}.{t}" if t % 4 else None) for c in range(30) for t in range(random.randint(1, 9))]
+    rows += [(None, None, random.choice(kinds), f"n{i}") for i in range(300)]  # one conversation without ids and turns
+    rows += [(77, 1, "user", "same")] * 300 + [(78, i % 3, random.choice(kinds), f"r{i}") for i in range(40)]
+    got = {}
+    for r in chat.repair_roles(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), block).collect():
+        got.setdefault(r["conv_id"], []).append(r)
+    given = {}
+    for conv, turn, _, text in rows:
+        given.setdefault(conv, []).append((turn, text or ""))
+    assert {c: len(x) for c, x in got.items()} == {c: len(x) for c, x in given.items()}
+    for conv, pieces in got.items():
+        pieces.sort(key=lambda r: r["position"])
+        assert [r["position"] for r in pieces] == list(range(len(pieces)))
+        assert [r["turn"] for r in pieces] == sorted((t for t, _ in given[conv]), key=lambda t: -1 if t is None else t)
+        assert pieces[0]["conv_cost"] == sum(r["cost"] for r in pieces) == best_cost([r["role"] for r in pieces])
+        text = "".join(r["rendered"] for r in pieces)
+        turns = re.findall(r"<\|(\w+)\|>\n(.*?)\n<\|end\|>\n", text, re.S)
+        assert "".join(f"<|{role}|>\n{body}\n<|end|>\n" for role, body in turns) == text and legal([role for role, _ in turns])
+        want = []
+        for r in pieces:
+            want += [[r["inserted"], None]] if r["inserted"] else []
+            want += [[r["new_role"], []]] if r["action"] != "merge" else []
+            want[-1][1].append(r)
+        by_turn = [(role, 1 if held is None else len(held)) for role, held in want]
+        assert [(role, 1 if body == "" else body.count("\n") + 1) for role, body in turns] == by_turn
+        bodies = [x for (_, body), (_, held) in zip(turns, want) if held is not None for x in body.split("\n")]
+        assert sorted(bodies) == sorted(t for _, t in given[conv])
+
+
+def test_chat_blocks_are_cut_by_rank(spark):
+    rows = [(None, None, "user", f"n{i}") for i in range(500)] + [(1, 1, "user", "same")] * 500 + [(2, t, "user", "x") for t in range(40)]
+    keyed = spark.createDataFrame([(*r, hash(r[3])) for r in rows], "conv long, turn long, role string, text string, place long").fillna({"turn": chat.NO_TURN})
+    sizes = chat.blocks(keyed, 8).groupBy(*chat.KEY).count()
+    assert sizes.agg(F.max("count")).first()[0] == 8 and sizes.agg(F.sum("count")).first()[0] == len(rows)
+
+
 def test_matrices_equal_paths():
     for roles in itertools.product([*chat.ROLES, None], repeat=3):
         m = chat.STEP[roles[0]]

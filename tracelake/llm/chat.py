@@ -5,6 +5,7 @@ input turn is kept, relabelled, merged into the turn before it, or preceded by a
 program over the automaton's states picks the cheapest repair. The cost of a turn depends on its role only, so a run of turns is a
 matrix of least costs from state to state. Long conversations are cut into blocks of turns: blocks give their matrices, a fold over
 a conversation's blocks fixes the state at each border, and blocks then repair their own turns. No task holds a whole conversation.
+Where turn numbers are null or repeated, a block of turn numbers is cut again by the rank of its rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ STATES = ["start", *ROLES]  # the last turn written
 NEXT = {"start": ["system", "user"], "system": ["user"], "user": ["assistant"], "assistant": ["user"]}
 RELABEL, MERGE_SAME, MERGE_OTHER, INSERT = 3, 1, 4, 2
 BLOCK = 256
+NO_TURN = -(1 << 62)
+END = "\n<|end|>\n"
+KEY = ["conv", "block", "cut"]
 NEVER = 10**9
 
 
@@ -79,7 +83,7 @@ def path(roles: list[str | None], enter: int, leave: int | None = None) -> tuple
 
 
 def _ordered(table: pa.Table) -> pa.Table:
-    return table.sort_by([("turn", "ascending"), ("place", "ascending")])
+    return table.sort_by([("turn", "ascending"), ("place", "ascending"), ("role", "ascending")])
 
 
 def _matrix(table: pa.Table) -> pa.Table:
@@ -87,11 +91,11 @@ def _matrix(table: pa.Table) -> pa.Table:
     out = STEP[roles[0]]
     for r in roles[1:]:
         out = compose(out, STEP[r])
-    return pa.table({"conv": table.column("conv")[:1], "block": table.column("block")[:1], "least": pa.array([out.ravel().tolist()], pa.list_(pa.int64()))})
+    return pa.table({c: table.column(c)[:1] for c in KEY} | {"n": pa.array([len(roles)], pa.int64()), "least": pa.array([out.ravel().tolist()], pa.list_(pa.int64()))})
 
 
 def _borders(table: pa.Table) -> pa.Table:
-    table = table.sort_by("block")
+    table = table.sort_by([("block", "ascending"), ("cut", "ascending")])
     steps = [np.array(x).reshape(len(STATES), -1) for x in table.column("least").to_pylist()]
     cost = np.full(len(STATES), NEVER, np.int64)
     cost[0] = 0
@@ -103,7 +107,8 @@ def _borders(table: pa.Table) -> pa.Table:
         leave.append(int(np.argmin(before + m[:, leave[-1]])))
     states = leave[::-1]
     n = table.num_rows
-    return pa.table({"conv": table.column("conv"), "block": table.column("block"), "enter": pa.array(states[:-1], pa.int32()), "leave": pa.array(states[1:], pa.int32()), "total": pa.array([int(costs[-1][states[-1]])] * n, pa.int64())})
+    first = np.cumsum(table.column("n").to_numpy()) - table.column("n").to_numpy()
+    return pa.table({c: table.column(c) for c in KEY} | {"first": pa.array(first), "last": pa.array(np.arange(n) == n - 1), "enter": pa.array(states[:-1], pa.int32()), "leave": pa.array(states[1:], pa.int32()), "total": pa.array([int(costs[-1][states[-1]])] * n, pa.int64())})
 
 
 def _repair(table: pa.Table) -> pa.Table:
@@ -112,32 +117,55 @@ def _repair(table: pa.Table) -> pa.Table:
     _, moves = path(roles, table.column("enter")[0].as_py(), table.column("leave")[0].as_py())
     rendered = []
     for m, text in zip(moves, table.column("text").to_pylist()):
-        head = "" if m[5] is None else f"<|{m[5]}|>\n\n<|end|>\n"
+        head = ("" if m[0] == 0 else END) + ("" if m[5] is None else f"<|{m[5]}|>\n{END}")  # nothing is open at the start
         rendered.append(f"\n{text or ''}" if m[4] is None else f"{head}<|{m[4]}|>\n{text or ''}")
-    out = {c: table.column(c) for c in ("conv", "block", "turn", "place", "role", "total")}
+    if table.column("last")[0].as_py():
+        rendered[-1] += END
+    out = {c: table.column(c) for c in ("conv", "turn", "role", "total")}
     out |= {"new_role": pa.array([m[4] or STATES[m[1]] for m in moves]), "action": pa.array([m[3] for m in moves]), "inserted": pa.array([m[5] for m in moves], pa.string()), "cost": pa.array([m[2] for m in moves], pa.int64())}
-    return pa.table(out | {"rendered": pa.array(rendered, pa.string())})
+    position = table.column("first")[0].as_py() + np.arange(len(moves))
+    return pa.table(out | {"rendered": pa.array(rendered, pa.string()), "position": pa.array(position)})
+
+
+def blocks(rows: DataFrame, block: int) -> DataFrame:
+    """``rows(conv, turn, place, role, text)`` with block and cut, in whose order the rows of a conversation run.
+
+    A block is a stretch of turn numbers. One of more than ``block`` rows, so with null or repeated numbers, is sorted over all
+    tasks and cut by rank; equal rows can change places, so they are dealt too.
+    """
+    rows = rows.withColumn("block", F.floor(F.col("turn") / block))
+    long = rows.groupBy("conv", "block").count().where(F.col("count") > block)
+    long = stage_table(long.select(F.col("conv").alias("c"), F.col("block").alias("b")), "long")
+    if long.isEmpty():
+        return rows.withColumn("cut", F.lit(0).cast("long"))
+    same = rows["conv"].eqNullSafe(long["c"]) & (rows["block"] == long["b"])
+    order = ["conv", "turn", "place", "role", "tie"]
+    held = rows.withColumn("tie", F.xxhash64(F.monotonically_increasing_id())).join(long, same, "left_semi")
+    held = held.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id())
+    held = stage_table(held.withColumn("cut", F.expr(f"rank div {block}")).drop("tie", "rank"), "cut")
+    return rows.join(long, same, "left_anti").withColumn("cut", F.lit(0).cast("long")).unionByName(held)
 
 
 def repair_roles(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row for each row of ``conversations(conv_id, turn, role, text, ...)``: its role after repair and its rendered piece.
 
     Columns conv_id, turn, role, new_role, action (keep, relabel, merge, insert), inserted (role of the empty turn put before it),
-    cost, conv_cost and rendered. The pieces of a conversation, in order of turn and place, are its text; a turn that nothing was
-    merged into is closed by the next piece's head. Turns run in order of turn, nulls first, then of a hash of role and text, so
-    repeated rows stay in a fixed order. Unknown and null roles are relabelled or merged; null texts are empty; a null conv_id is a
-    conversation of its own. Other columns are ignored; an empty table gives no rows.
+    cost, conv_cost, rendered and position (from 0 in the conversation). The pieces of a conversation, in order of position, are its
+    text: ``<|role|>``, text and ``<|end|>`` for each turn. A piece that begins a turn closes the one before it; the last piece
+    closes its own. Turns run in order of turn, nulls first, then of a hash of role and text, so repeated rows stay in a fixed
+    order. Unknown and null roles are relabelled or merged; null texts are empty; all rows of a null conv_id are one conversation. Other columns are ignored; an empty table gives no rows.
     """
     rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"),
+        F.col("conv_id").cast("long").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(NO_TURN)).alias("turn"),
         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
         F.xxhash64("role", "text").alias("place"),
-    ).withColumn("block", F.floor(F.col("turn") / block))
-    least = rows.select("conv", "block", "turn", "place", "role").groupBy("conv", "block").applyInArrow(_matrix, "conv long, block long, least array<long>")
-    borders = least.groupBy("conv").applyInArrow(_borders, "conv long, block long, enter int, leave int, total long")
-    borders = stage_table(borders, "borders").withColumnsRenamed({"conv": "c", "block": "b"})
-    joined = rows.join(borders, rows["conv"].eqNullSafe(borders["c"]) & (rows["block"] == borders["b"])).drop("c", "b")
-    kinds = "conv long, block long, turn long, place long, role string, total long, new_role string, action string, inserted string, cost long, rendered string"
-    out = joined.groupBy("conv", "block").applyInArrow(_repair, kinds)
-    turn = F.when(F.col("turn") != -(1 << 62), F.col("turn"))
-    return out.select(F.col("conv").alias("conv_id"), turn.alias("turn"), "role", "new_role", "action", "inserted", "cost", F.col("total").alias("conv_cost"), "rendered")
+    )
+    rows = blocks(rows, block)
+    least = rows.select(*KEY, "turn", "place", "role").groupBy(*KEY).applyInArrow(_matrix, "conv long, block long, cut long, n long, least array<long>")
+    borders = least.groupBy("conv").applyInArrow(_borders, "conv long, block long, cut long, first long, last boolean, enter int, leave int, total long")
+    borders = stage_table(borders, "borders").withColumnsRenamed({"conv": "c", "block": "b", "cut": "k"})
+    joined = rows.join(borders, rows["conv"].eqNullSafe(borders["c"]) & (rows["block"] == borders["b"]) & (rows["cut"] == borders["k"])).drop("c", "b", "k")
+    kinds = "conv long, turn long, role string, total long, new_role string, action string, inserted string, cost long, rendered string, position long"
+    out = joined.groupBy(*KEY).applyInArrow(_repair, kinds)
+    turn = F.when(F.col("turn") != NO_TURN, F.col("turn"))
+    return out.select(F.col("conv").alias("conv_id"), turn.alias("turn"), "role", "new_role", "action", "inserted", "cost", F.col("total").alias("conv_cost"), "rendered", "position")
