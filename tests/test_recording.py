@@ -95,6 +95,20 @@ def test_events_of_later_chunks(spark, file, rotated):
     assert known["RecordingInfo"].first()["eventCount"] == sum(1 for r in readers for e in recording.event_types(rotated) for _ in r.events(e))
 
 
+def test_active_settings_name_their_events(spark, file, rotated):
+    known = ingest.tables(spark, file)
+    numbers = {n: k.name.removeprefix("jdk.") for c in recording.chunks(file) for n, k in recording.load(c).kinds.items() if k.event}
+    ids = {r["id"]: r["name"] for r in known["EventIDs"].collect()}
+    assert ids == numbers and set(ids.values()) > set(ingest.table_name(n) for n in recording.event_types(file))
+    engine = Engine(spark, {n: known[n] for n in ("ActiveSetting", "EventIDs")})
+    named = {r["Event Type"]: r for r in engine.query("active-settings").collect()}
+    assert None not in named and {"ThreadSleep", "GarbageCollection"} <= set(named)
+    assert named["ExecutionSample"]["Period"] == "10 ms" and named["ThreadSleep"]["Period"] is None
+    number = next(n for n, name in numbers.items() if name == "ThreadSleep")
+    assert engine.query(f"SELECT EVENT_NAME_FOR_ID({number}) AS name").first()["name"] == "ThreadSleep"
+    assert ingest.tables(spark, rotated)["EventIDs"].where("name = 'test.Marker'").count() == 1
+
+
 def test_types_of_chunks_merge_by_name():
     a = T.StructType([T.StructField("x", T.IntegerType(), True, {"kind": "int"}), T.StructField("s", T.StructType([T.StructField("p", T.LongType())]))])
     b = T.StructType([T.StructField("y", T.StringType()), T.StructField("x", T.LongType(), True, {"kind": "long"}), T.StructField("s", T.StructType([T.StructField("q", T.LongType())]))])

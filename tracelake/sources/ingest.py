@@ -104,7 +104,8 @@ def tables(spark: SparkSession, path: str, depth: int = lake.FRAMES) -> dict[str
         nothing = spark.createDataFrame([(0, *[None] * (len(kind.fields) - 1))], kind)
         rows = reduce(DataFrame.unionByName, held.get(name, []), nothing)
         found[name] = rows.groupBy("_id").agg(*(F.max(c).alias(c) for c in kind.names[1:]))  # one row an id
-    return events | found | lake.registers(events, {table_name(e): text for e, text in labels.items()})
+    ids = [(table_name(e), number) for e, t in types.items() for number in t.ids]
+    return events | found | lake.registers(events, {table_name(e): text for e, text in labels.items()}, ids)
 
 
 def import_recording(spark: SparkSession, path: str, out: str, depth: int = lake.FRAMES, again: bool = False) -> None:

@@ -89,8 +89,11 @@ def encode(rows: DataFrame, content: list[str], names: DataFrame, out: str) -> D
     return found.select(*(rows[f"`{c}`"] for c in rows.columns if c not in content), F.coalesce("_code", F.lit(0).cast("long")).alias(out))
 
 
-def registers(events: dict[str, DataFrame], labels: dict[str, str] | None = None, ids: dict[str, int] | None = None) -> dict[str, DataFrame]:
-    """Events (counts), EventLabels, EventIDs and RecordingInfo of the event tables."""
+def registers(events: dict[str, DataFrame], labels: dict[str, str] | None = None, ids: list[tuple[str, int]] | None = None) -> dict[str, DataFrame]:
+    """Events (counts), EventLabels, EventIDs and RecordingInfo of the event tables.
+
+    ``ids`` are the type numbers of the recording, of types without events too; tables without a recording are numbered from 1.
+    """
     spark = next(iter(events.values())).sparkSession if events else SparkSession.active()
     counts = None
     spans = None
@@ -110,7 +113,7 @@ def registers(events: dict[str, DataFrame], labels: dict[str, str] | None = None
     return {
         "Events": counts.where("count > 0").orderBy(F.desc("count"), "name"),
         "EventLabels": spark.createDataFrame([(n, (labels or {}).get(n, n)) for n in known], "name string, label string"),
-        "EventIDs": spark.createDataFrame([(n, (ids or {}).get(n, i)) for i, n in enumerate(known, 1)], "name string, id long"),
+        "EventIDs": spark.createDataFrame([(n, i) for i, n in enumerate(known, 1)] if ids is None else ids, "name string, id long"),
         "RecordingInfo": info,
     }
 
