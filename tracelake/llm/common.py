@@ -1,34 +1,50 @@
-"""What the operators of this subpackage share: tables in the shared folder and connected components."""
+"""What the operators of this subpackage share: tables in the shared folder, free names and connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracelake-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, so later steps neither recompute it nor carry its lineage."""
+    """Write df once to the shared folder and read it back, so later steps neither recompute it nor carry its lineage.
+
+    Results read such tables lazily, so the tables stay as long as the application and go when it ends in order.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracelake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores before it until no column has it; Spark compares names without case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label every node of ``edges(a, b)`` with the smallest node it reaches: columns ``node, label``.
 

@@ -5,8 +5,8 @@
    consecutive grams the smallest hash is an anchor. A string of ``length`` bytes always holds an anchor, and equal strings hold
    the same one, so only anchors found twice can lie in a repeated string.
 3. An anchor found twice has as leader the first text that holds it. The bytes within reach of a text's anchors of one leader
-   form the text's part of that leader's shard. Small leaders share shards; large leaders are cut into several, and each pair
-   of these meets once.
+   form the text's parts of that leader's shard; a long part is cut, and each piece owns the starts up to the next. Small leaders
+   share shards; large leaders are cut into several, and each pair of these meets once.
 4. A shard sorts its suffixes by Larsson-Sadakane refinement (numpy) and takes common
    prefixes of neighbours in Kasai's order, many stretches of text at a time. A suffix whose common prefix with a neighbour of
    another start reaches ``length`` begins a repeated string.
@@ -25,6 +25,9 @@ from tracelake.llm import bytesnp
 from tracelake.llm.common import stage_table
 
 SHARD = 1 << 21  # bytes of text sorted together
+HOT = 10_000  # places of an anchor beyond which it meets its leader by broadcast; raised so that at most HOT_ROWS are hot
+HOT_ROWS = 100_000
+TASKS = 20_000  # most tasks of the suffix sorts; each then sorts several shards, one after another
 
 
 def winnow(data: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,28 +136,28 @@ def _parts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return data, np.repeat(np.arange(len(size)), size), np.repeat(offs[1:], size), offs[:-1]
 
 
-def repeated_starts(data, ends, part, length: int, origin) -> tuple[np.ndarray, np.ndarray]:
-    """Mask of starts of strings that occur at two origins, and the suffix array.
+def repeated_starts(data, ends, part, length: int, origin, own) -> tuple[np.ndarray, np.ndarray]:
+    """Mask of the owned starts of strings that occur at two owned places, and the suffix array.
 
-    ``origin`` names the place of a byte in the input: parts of one text can overlap, and a place isn't its own repeat.
+    ``origin`` names the place of a byte in the input: parts of different leaders can overlap, and a place isn't its own repeat.
     """
     sa = refine(data, ends, part)
     same = kasai(data, ends, sa, length) >= length
     hit = np.zeros(len(data), bool)
-    group = np.cumsum(~same) - 1  # suffixes equal for the whole length
-    at = origin[sa]
-    size = np.bincount(group)
-    low, high = np.full(len(size), np.iinfo(np.int64).max), np.full(len(size), -1)
-    np.minimum.at(low, group, at)
-    np.maximum.at(high, group, at)
-    hit[sa] = (low < high)[group]
+    if not len(sa):
+        return hit, sa
+    first = np.flatnonzero(~same)  # suffixes equal for the whole length stand together
+    at, mine = origin[sa], own[sa]
+    low = np.minimum.reduceat(np.where(mine, at, np.iinfo(np.int64).max), first)
+    high = np.maximum.reduceat(np.where(mine, at, -1), first)
+    hit[sa] = np.repeat(low < high, np.diff(np.append(first, len(sa)))) & mine
     return hit, sa
 
 
-def _search(data, ends, sa, other, other_ends, starts, length: int) -> np.ndarray:
-    """Binary search of the strings of so many bytes at ``starts`` of other among the sorted suffixes of data."""
+def _search(data, ends, own, sa, other, starts, length: int) -> np.ndarray:
+    """Binary search of the strings of so many bytes at ``starts`` of other among the owned, sorted suffixes of data."""
     found = np.zeros(len(starts), bool)
-    full = sa[ends[sa] - sa >= length]
+    full = sa[own[sa] & (ends[sa] - sa >= length)]
     if not len(full) or not len(starts):
         return found
     words = -(-length // 8)
@@ -188,32 +191,26 @@ def _shard(length: int):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        uid, first, side = (table.column(c).to_numpy() for c in ("uid", "first", "side"))
+        uid, first, owned, side = (table.column(c).to_numpy() for c in ("uid", "first", "own", "side"))
         data, part, ends, begin = _parts(table)
-        where = np.arange(len(data)) - begin[part] + first[part]  # place in its text
+        inside = np.arange(len(data)) - begin[part]
+        where, own = inside + first[part], inside < owned[part]  # place in its text, and whether it is a start of this part
         texts = np.unique(uid, return_inverse=True)[1]
         origin = texts[part] * (1 << 40) + where
-        two = side.min() != side.max()
-        if not two:
-            hit, _ = repeated_starts(data, ends, part, length, origin)
-        else:
-            hit = np.zeros(len(data), bool)
-            cut = side[part] == 0
-            a, b = np.flatnonzero(cut), np.flatnonzero(~cut)
-
-            def own(at):
-                to = np.cumsum(np.r_[np.diff(part[at]) != 0, True])  # ends of parts within this side
-                edges = np.flatnonzero(np.r_[np.diff(part[at]) != 0, True]) + 1
-                return data[at], edges[np.r_[0, to[:-1]]] if len(at) else at
-
-            (x, xe), (y, ye) = own(a), own(b)
-            xh, xs = repeated_starts(x, xe, part[a] - part[a][0], length, origin[a])
-            yh, ys = repeated_starts(y, ye, part[b] - part[b][0], length, origin[b])
-            for (d, e, s), (o, oe, oh, at) in (((x, xe, xs), (y, ye, yh, b)), ((y, ye, ys), (x, xe, xh, a))):
-                ask = np.flatnonzero(~oh & (oe - np.arange(len(o)) >= length))
-                hit[at[ask[_search(d, e, s, o, oe, ask, length)]]] = True
-            hit[a] |= xh
-            hit[b] |= yh
+        hit = np.zeros(len(data), bool)
+        sides = []
+        for which in np.unique(side):
+            at = np.flatnonzero(side[part] == which)
+            edge = np.flatnonzero(np.diff(part[at], prepend=-1) != 0)  # first bytes of parts within this side
+            nth = np.cumsum(np.diff(part[at], prepend=-1) != 0) - 1
+            end = np.append(edge[1:], len(at))[nth]
+            found, sa = repeated_starts(data[at], end, nth, length, origin[at], own[at])
+            hit[at] |= found
+            sides.append((at, data[at], end, own[at], sa))
+        if len(sides) == 2:
+            for (_, d, e, o, sa), (at, d2, e2, o2, _) in (sides, sides[::-1]):
+                ask = np.flatnonzero(~hit[at] & o2 & (e2 - np.arange(len(at)) >= length))
+                hit[at[ask[_search(d, e, o, sa, d2, ask, length)]]] = True
         s, e = _runs_by_part(hit, part, length)
         if not len(s):
             return schema.empty_table()
@@ -270,25 +267,43 @@ def _anchors(length: int, gram: int):
     return run
 
 
-def _cut(length: int, gram: int):
+def _cut(length: int, gram: int, most: int):
+    """Parts of a text by leader; a part has at most ``most`` starts of its own."""
     reach = length - gram
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {"uid": [], "lead": [], "first": [], "part": []}
-            for uid, lead, at, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "lead", "at", "text"))):
+            for uid, near, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "near", "text"))):
+                out: dict[str, list] = {"uid": [], "lead": [], "first": [], "own": [], "part": []}
                 text = text.encode()
-                spans = merge_spans([x for p in at for x in (max(0, p - reach), min(len(text), p + gram + reach))])
-                for s, e in spans:
-                    out["uid"].append(uid)
-                    out["lead"].append(lead)
-                    out["first"].append(s)
-                    out["part"].append(text[s:e])
-            yield pa.RecordBatch.from_arrays([*(pa.array(out[c], pa.int64()) for c in ("uid", "lead", "first")), pa.array(out["part"], pa.binary())], names=list(out))
+                for x in near:
+                    for s, e in merge_spans([y for p in x["at"] for y in (max(0, p - reach), min(len(text), p + gram + reach))]):
+                        for a in range(s, max(s + 1, e - length + 1), most):
+                            out["uid"].append(uid)
+                            out["lead"].append(x["lead"])
+                            out["first"].append(a)
+                            out["own"].append(min(most, e - a))
+                            out["part"].append(text[a : min(e, a + most + length - 1)])
+                yield pa.RecordBatch.from_arrays([*(pa.array(out[c], pa.int64()) for c in ("uid", "lead", "first", "own")), pa.array(out["part"], pa.binary())], names=list(out))
 
     return run
 
 
+def _near(listed: DataFrame) -> DataFrame:
+    """``uid, near``: for each text with an anchor found twice the leaders and its anchors of each.
+
+    An anchor with very many places would be one key of a join. Such anchors are few, at most HOT_ROWS, whatever the input: these
+    meet their leaders by broadcast, the others by a shuffled join.
+    """
+    lead = stage_table(listed.groupBy("h").agg(F.min("uid").alias("lead"), F.count("*").alias("c")).where("c > 1"), "leads")
+    most = max(HOT, (lead.agg(F.sum("c")).first()[0] or 0) // HOT_ROWS)
+    hot = lead.where(F.col("c") > most).select("h", F.col("lead").alias("hot_lead"))
+    found = listed.join(F.broadcast(hot), "h", "left")
+    cold = found.where("hot_lead is null").drop("hot_lead").join(lead.where(F.col("c") <= most).select("h", "lead"), "h")
+    found = found.where("hot_lead is not null").select("h", "uid", "at", F.col("hot_lead").alias("lead")).unionByName(cold)
+    return found.groupBy("uid", "lead").agg(F.collect_list("at").alias("at")).groupBy("uid").agg(F.collect_list(F.struct("lead", "at")).alias("near"))
+
+
 def _kept(batches):
     for batch in batches:
         out: dict[str, list] = {"uid": [], "spans": [], "kept": []}
@@ -308,18 +323,22 @@ def remaining_texts(named: DataFrame, length: int) -> DataFrame:
     gram = length - length // 4
     long_ = named.where(F.col("size") >= length)
     listed = stage_table(long_.select("uid", "text").mapInArrow(_anchors(length, gram), "uid long, at long, h long").distinct(), "anchors")
-    lead = listed.groupBy("h").agg(F.min("uid").alias("lead"), F.count("*").alias("c")).where("c > 1").select("h", "lead")
-    near = stage_table(listed.join(lead, "h").groupBy("uid", "lead").agg(F.collect_list("at").alias("at")), "near")
-    one = long_.groupBy("uid").agg(F.first("text").alias("text")).join(near.select("uid").distinct(), "uid", "left_semi")
+    near = stage_table(_near(listed), "near")
+    one = long_.groupBy("uid").agg(F.first("text").alias("text")).join(near.select("uid"), "uid", "left_semi")
     one = stage_table(one, "near-texts")
-    parts = stage_table(near.join(one, "uid").mapInArrow(_cut(length, gram), "uid long, lead long, first long, part binary"), "parts")
+    kinds = "uid long, lead long, first long, own long, part binary"
+    parts = stage_table(near.join(one, "uid").mapInArrow(_cut(length, gram, max(1, SHARD // 4)), kinds), "parts")
     size = parts.groupBy("lead").agg(F.sum(F.octet_length("part")).alias("bytes"))
-    big = size.where(F.col("bytes") > SHARD).select("lead", F.ceil(F.col("bytes") * 2 / SHARD).cast("int").alias("k"))
-    shards = max(1, int((size.agg(F.sum("bytes")).first()[0] or 0) * 4 // SHARD))
+    size = stage_table(size.withColumn("k", F.when(F.col("bytes") > SHARD, F.ceil(F.col("bytes") * 2 / SHARD)).cast("int")), "sizes")
+    total = size.agg(F.sum("bytes").alias("bytes"), F.sum(F.col("bytes") * F.coalesce(F.col("k") - 1, F.lit(1))).alias("dealt")).first()
+    shards = max(1, (total["bytes"] or 0) * 4 // SHARD)
+    big = size.where("k is not null").select("lead", "k")
     dealt = parts.join(big, "lead", "left").withColumn("s", F.pmod(F.xxhash64("uid", "first"), F.col("k")).cast("int"))
     small = F.expr(f"array(named_struct('g', pmod(xxhash64(lead), {shards}), 'i', 0, 'j', 0, 'side', 0))")
     large = F.expr("transform(filter(sequence(0, k - 1), x -> x <> s), x -> named_struct('g', lead, 'i', 1 + least(s, x), 'j', 1 + greatest(s, x), 'side', if(s <= x, 0, 1)))")
-    dealt = dealt.withColumn("x", F.explode(F.when(F.col("k").isNull(), small).otherwise(large))).select("uid", "first", "part", "x.*")
+    dealt = dealt.withColumn("x", F.explode(F.when(F.col("k").isNull(), small).otherwise(large))).select("uid", "first", "own", "part", "x.*")
+    tasks = min(TASKS, max(named.sparkSession.sparkContext.defaultParallelism, (total["dealt"] or 0) * 4 // SHARD))
+    dealt = dealt.repartition(tasks, "g", "i", "j")  # else adaptive execution, which goes by bytes, puts hours of sorting in one task
     spans = stage_table(dealt.groupBy("g", "i", "j").applyInArrow(_shard(length), "uid long, spans array<long>"), "spans")
     spans = spans.groupBy("uid").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     return one.join(spans, "uid").mapInArrow(_kept, "uid long, spans array<long>, kept binary")
@@ -349,11 +368,12 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
 
 def repeat_digests(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of :func:`remove_repeats`."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and repeated (whether anything goes) of :func:`remove_repeats`."""
     return remove_repeats(docs, length).select(
         "doc_id",
         "n_bytes",
         F.coalesce(F.col("n_bytes") - F.octet_length("kept"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.size("spans") / 2, F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce(F.sha2("kept", 256), F.col("sha")).alias("kept_sha256"),
+        F.col("spans").isNotNull().alias("repeated"),
     )
