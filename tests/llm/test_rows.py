@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -98,51 +99,132 @@ def test_mixing_meets_its_targets(spark):
             have = {r[c]: r["s"] for r in fitted.groupBy(c).agg(F.sum("fitted").alias("s")).collect()}
             assert all(abs(have[k] - v) < 1e-5 for k, v in d.items())
     drawn = mixing.draw(docs, targets, F.lit("t"))
-    assert drawn.count() == 3000
-    shares = {r["source"]: r["n"] for r in drawn.where("kept").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    assert abs(shares["a"] / sum(shares.values()) - 0.5) < 0.06
-    again = mixing.draw(docs, targets, F.lit("t"))
-    assert drawn.where("kept").select("doc_id").exceptAll(again.where("kept").select("doc_id")).count() == 0
+    assert drawn.count() == 3000 and drawn.where("kept <> (copies > 0)").count() == 0
+    for c in ("source", "lang"):
+        have = {r[c]: r["n"] for r in drawn.groupBy(c).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).collect()}
+        assert all(abs(have[k] / sum(have.values()) - v) < 0.02 for k, v in goal[c].items())
+    rows = drawn.collect()
+    assert all(int(r["weight"]) <= r["copies"] <= int(r["weight"]) + 1 for r in rows)  # no weight is capped
+    assert rows == mixing.draw(docs, targets, F.lit("t")).collect()
+
+
+def test_raking_by_brute_force(spark):
+    random.seed(9)
+    cells = {(s, g, t): random.randint(1, 900) for s in "abc" for g in "xy" for t in "uv" if random.random() < 0.9}
+    goal = {"source": dict(zip("abc", (0.2, 0.3, 0.5))), "lang": {"x": 0.4, "y": 0.6}, "topic": {"u": 0.7, "v": 0.3}}
+    fitted = {k: v / sum(cells.values()) for k, v in cells.items()}
+    for _ in range(300):
+        for i, c in enumerate(mixing.DIMS):
+            have = {}
+            for k, v in fitted.items():
+                have[k[i]] = have.get(k[i], 0) + v
+            fitted = {k: v * goal[c][k[i]] / have[k[i]] for k, v in fitted.items()}
+    table = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, tokens long")
+    targets = {c: spark.createDataFrame(list(d.items()), f"{c} string, target double") for c, d in goal.items()}
+    got = {(r["source"], r["lang"], r["topic"]): r for r in mixing.rake(table, targets).collect()}
+    assert got.keys() == cells.keys()
+    for k, r in got.items():
+        assert abs(r["fitted"] - fitted[k]) < 1e-7 and abs(r["weight"] - fitted[k] * sum(cells.values()) / cells[k]) < 1e-5
+    apart = spark.createDataFrame([("a", "x", "u", 5), ("b", "y", "u", 5)], "source string, lang string, topic string, tokens long")
+    never = targets | {"lang": spark.createDataFrame([("x", 0.1), ("y", 0.9)], "lang string, target double")}
+    with pytest.warns(UserWarning, match="raking is off"):
+        mixing.rake(apart, never)
 
 
 def test_mixing_odd_rows(spark):
     rows = [(1, None, None, None), (None, "", "s", "en"), (2, "a b", "s", "en"), (2, "a b", "s", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({"topic": F.lit("clash"), "weight": F.lit(1)})
     got = mixing.draw(docs)
-    assert got.count() == 4 and got.where("n_tokens = 0").where("kept").count() == 2
+    assert got.count() == 4 and got.where("n_tokens = 0").where("copies = 1").count() == 2
     assert mixing.mix(docs).columns == docs.columns
+    assert mixing.mix(docs).count() == got.agg(F.sum("copies")).first()[0]
     assert mixing.draw(docs.limit(0)).count() == 0
 
 
+def brute_runs(shards, target):
+    """Rewrites of a list of (shard, bytes, tier): by tier in order of size, a new run at each multiple of the target."""
+    out = []
+    for level in sorted({t for *_, t in shards}):
+        held, runs_ = 0, {}
+        for b, name in sorted((b, name) for name, b, t in shards if t == level and 2 * b < target):
+            runs_.setdefault(held // target, []).append(name)
+            held += b
+        out += [(sorted(names), 1) for names in runs_.values() if len(names) > 1]
+    return sorted(out + [([name], -(-b // target)) for name, b, _ in shards if b > 2 * target])
+
+
+def test_runs_fill_the_target(spark):
+    random.seed(2)
+    rows = [(f"s{i}", 1, b, t) for i, (b, t) in enumerate([(10, 0)] * 9 + [(45, 1), (46, 1), (99, 1), (450, 2)] + [(random.randint(1, 120), i % 3) for i in range(60)])]
+    got = {}
+    for r in sharding.runs(spark.createDataFrame(rows, sharding.MANIFEST), target=100).collect():
+        got.setdefault((r["run"], r["files"]), []).append(r["shard"])
+    assert sorted((sorted(v), k[1]) for k, v in got.items()) == brute_runs([(n, b, t) for n, _, b, t in rows], 100)
+
+
 def test_shards(spark, tmp_path):
     root = f"file://{tmp_path}/data"
-    make = lambda a, b: spark.range(a, b).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"), F.lit("r").alias("run"))
-    assert sharding.append(make(0, 400).drop("run").repartition(6), root) == 1
-    assert sharding.append(make(400, 500).drop("run").repartition(4), root) == 2
-    first = {r["shard"] for r in sharding.manifest(spark, root, 2).collect()}
-    assert len(first) == 10
+    make = lambda a, b: spark.range(a, b).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    assert sharding.append(make(0, 400).repartition(6), root) == 1
+    assert sharding.append(make(400, 500).repartition(4), root, most=10) == 2
+    before = sharding.manifest(spark, root, 2)
+    assert before.count() >= 16 and before.where("rows > 10").count() == 6
+    plan = brute_runs([(r["shard"], r["bytes"], r["tier"]) for r in before.collect()], 40_000)
     assert sharding.compact(spark, root, target=40_000) == 3
     merged = sharding.manifest(spark, root, 3)
-    assert merged.count() < 10 and merged.agg(F.sum("rows")).first()[0] == 500
+    assert merged.count() == before.count() - sum(len(names) for names, _ in plan) + sum(n for _, n in plan)
+    assert merged.agg(F.sum("rows")).first()[0] == 500
     for version, n in ((1, 400), (2, 500), (3, 500)):
         rows = sharding.read(spark, root, version)
-        assert rows.select("doc_id").distinct().count() == n == rows.count()
+        assert rows.drop("shard").exceptAll(make(0, n)).count() == 0 and rows.count() == n
     joined = sharding.read(spark, root).groupBy("shard").count().join(merged, "shard").where("count = rows").count()
     assert joined == merged.count()
-    with pytest.raises(sharding.Conflict):
-        sharding._commit(spark, root, merged, 3)
-    assert sharding.versions(spark, root) == [1, 2, 3]
-    assert sharding.vacuum(spark, root) >= 2 and sharding.versions(spark, root) == [3]
-    assert sharding.read(spark, root).count() == 500
-    placed = sharding.shard_documents(make(0, 50).unionByName(make(0, 5)).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS STRING) AS text, 'r' AS run")), f"file://{tmp_path}/own")
-    assert placed.count() == 56
-    assert sharding.shard_documents(make(0, 5).limit(0), f"file://{tmp_path}/none").count() == 0
+    assert sharding.compact(spark, root, target=2000) == 4 and sharding.manifest(spark, root, 4).count() > merged.count()  # large ones are cut
+    assert sharding.vacuum(spark, root) >= 2 and sharding.versions(spark, root) == [4]
+    assert sharding.read(spark, root).drop("shard").exceptAll(make(0, 500)).count() == 0 and sharding.read(spark, root).count() == 500
 
 
-def test_runs_fill_the_target(spark):
-    rows = [(f"s{i}", 1, b, t) for i, (b, t) in enumerate([(10, 0)] * 9 + [(45, 1), (46, 1), (99, 1)])]
-    got = {r["shard"]: r["run"] for r in sharding.runs(spark.createDataFrame(rows, sharding.MANIFEST), target=100).collect()}
-    assert {got[f"s{i}"] for i in range(9)} == {"0-0"} and got["s9"] == got["s10"] and "s11" not in got
+def test_of_two_writers_one_is_refused(spark, tmp_path):
+    root = f"file://{tmp_path}/data"
+    docs = spark.range(20).withColumnRenamed("id", "doc_id")
+    sharding.append(docs, root)
+    shards, schema = sharding.manifest(spark, root, 1), sharding.schema_of(spark, root, 1)
+    assert sharding._commit(spark, root, shards, 2, schema) == 2
+    held = sharding._version(spark, root, 2)
+    with pytest.raises(sharding.Conflict):
+        sharding._commit(spark, root, shards.limit(0), 2, schema)
+    assert sharding._version(spark, root, 2) == held and sharding.versions(spark, root) == [1, 2]
+    assert sharding.read(spark, root).count() == 20
+
+    def append(k):
+        try:
+            return sharding.append(docs.withColumn("doc_id", F.col("doc_id") + 100 * k), root)
+        except sharding.Conflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        done = [v for v in pool.map(append, range(1, 5)) if v]
+    assert len(done) == len(set(done)) and sharding.read(spark, root).count() == 20 * (1 + len(done))
+
+
+def test_shards_keep_any_columns(spark, tmp_path):
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), *(F.concat(F.lit(c), "id").alias(c) for c in ("shard", "_shard", "Run", "run_", "_rows", "_files", "bytes", "a.b", "tier")))
+    docs = docs.union(docs.limit(3)).union(docs.limit(1).select(*(F.lit(None).cast(t).alias(c) for c, t in docs.dtypes)))
+    placed = sharding.shard_documents(docs, f"file://{tmp_path}/own")
+    assert placed.columns == ["doc_id", "shard", "shard_tier", "shard_rows", "shard_bytes", "version"] and placed.count() == 54
+    stored = sharding.read(spark, f"file://{tmp_path}/own")
+    assert stored.columns == [*docs.columns, "__shard"]
+    assert stored.drop("__shard").exceptAll(docs).count() == 0 and docs.exceptAll(stored.drop("__shard")).count() == 0
+    more = spark.createDataFrame([(900, "new", "v")], "doc_id long, extra string, SHARD string")
+    sharding.append(more, f"file://{tmp_path}/own")
+    sharding.compact(spark, f"file://{tmp_path}/own")
+    sharding.vacuum(spark, f"file://{tmp_path}/own")
+    rows = sharding.read(spark, f"file://{tmp_path}/own")
+    assert rows.count() == 55 and rows.where("extra is not null").select("doc_id", "extra", "shard", "Run").collect() == [(900, "new", "v", None)]
+    with pytest.raises(ValueError):
+        sharding.append(spark.createDataFrame([(1, 2)], "doc_id long, extra long"), f"file://{tmp_path}/own")
+    assert sharding.shard_documents(docs.limit(0), f"file://{tmp_path}/none").count() == 0
+    assert sharding.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
 def brute_rule(host, path):
@@ -176,6 +258,40 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(pages.limit(0), labels).count() == 0
 
 
+def brute_templates(shapes):
+    """{(host, path): template} of {(host, path): (n, labelled, good)}, by walking each host's tree from the top."""
+    out = {}
+
+    def walk(node, held, level):
+        total = sum(v[0] for _, v in held)
+        rests = {tuple(parts[level:]) for (_, parts, _), _ in held}
+        if len(rests) == 1 or total < url_filter.SPLIT:
+            for (host, parts, path), _ in held:
+                tail = list(parts[level:]) if len(rests) == 1 else ["**"] if len(parts) > level else []
+                out[host, path] = "/" + "/".join(node + tail)
+            return
+        children = {}
+        for key, v in held:
+            if len(key[1]) <= level:
+                out[key[0], key[2]] = "/" + "/".join(node)
+            else:
+                children.setdefault(key[1][level], []).append((key, v))
+        counts = {c: [sum(v[i] for _, v in x) for i in range(3)] for c, x in children.items()}
+        n, labelled, good = (sum(v[i] for v in counts.values()) for i in range(3))
+        branches = {}
+        for c, x in children.items():
+            cn, cl, cg = counts[c]
+            rare = len(children) >= 16 and len(children) > 0.5 * n and cn < 0.05 * n
+            alike = len(children) > 1 and 0 < cl < labelled and abs(cg / cl - good / labelled) <= 1.96 * (good / labelled * (1 - good / labelled) / cl) ** 0.5
+            branches.setdefault("*" if rare or alike else c, []).extend(x)
+        for c, x in branches.items():
+            walk([*node, c], x, level + 1)
+
+    for host in {h for h, _ in shapes}:
+        walk([], [((h, [s for s in p.split("/") if s], p), v) for (h, p), v in shapes.items() if h == host], 0)
+    return out
+
+
 def test_url_templates(spark):
     random.seed(2)
     rows = [(i, f"http://h.io/{'spam' if i % 2 else 'news'}/{random.choice('abcdefgh') * random.randint(3, 9)}{i}/p") for i in range(400)]
@@ -188,23 +304,74 @@ def test_url_templates(spark):
     assert {got[1000 + i]["template"] for i in range(60)} == {"/*/x"}
 
 
+def test_url_verdicts_by_brute_force(spark):
+    random.seed(12)
+    rows = []
+    for i in range(1500):
+        parts = [random.choice(["en", "fr", "de", "x"]), random.choice(["a", "b", "spam"]), *(str(random.randint(1, 900)) for _ in range(random.randint(0, 3)))][: random.randint(0, 5)]
+        rows.append((i, f"http://{random.choice(['p.io', 'q.io', 'r.io'])}/{'/'.join(parts)}", random.choice([None, None, 0 if "spam" in parts else 1, random.randint(0, 1)])))
+    deep = "/".join("abcdefghijkl")
+    rows += [(2000 + i, f"http://deep.io/{deep}/{i % 2}/t", i % 2) for i in range(40)] + [(None, "http://deep.io/", None), (3000, None, 1), (3000, "http://p.io/" + "y" * 5000, 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, good int").withColumns({"template": F.lit("clash"), "Host": F.lit("clash")})
+    marks = {}
+    for i, _, g in rows:
+        if i is not None and g is not None:
+            marks[i] = min(g, marks.get(i, 1))
+    split = lambda u: re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "").groups() if u else ("", "")
+    shapes = {}
+    for i, u, _ in rows:
+        v = shapes.setdefault(split(u), [0, 0, 0])
+        v[0] += 1
+        v[1] += i in marks
+        v[2] += marks.get(i, 0)
+    named = brute_templates(shapes)
+    sums = {}
+    for key, v in shapes.items():
+        for k in ((key[0], named[key]), (key[0], None), None):
+            sums[k] = [a + b for a, b in zip(sums.get(k, [0, 0, 0]), v)]
+    base = sums[None][2] / sums[None][1]
+
+    def purity(host, name):
+        of_host = (sums[host, None][2] + 8 * base) / (sums[host, None][1] + 8)
+        return (sums[host, name][2] + 8 * of_host) / (sums[host, name][1] + 8)
+
+    want = sorted((str(i), *split(u), named[split(u)], round(purity(split(u)[0], named[split(u)]), 9)) for i, u, _ in rows)
+    got = url_filter.filter_urls(pages, pages.select("page_id", "good"), {}).collect()
+    assert sorted((str(r["page_id"]), r["host"], r["path"], r["template"], round(r["purity"], 9)) for r in got) == want
+    assert all((r["verdict"] == "block") == (r["purity"] < 0.5) for r in got) and {r["verdict"] for r in got} == {"allow", "block"}
+    assert {r["template"] for r in got if r["path"].startswith(f"/{deep}")} == {f"/{deep}/0/t", f"/{deep}/1/t"}
+
+
+AFTER = {"start": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}  # the automaton, written anew
+
+
 def best_cost(roles):
-    """Over all ways to keep, relabel, merge or insert, one turn after another."""
-    best = {0: 0}
+    """Least cost over all repairs: keep 0, relabel 3, merge 1 (same role) or 4, an inserted empty turn 2."""
+    best = {"start": 0}
     for role in roles:
+        role = (role or "").strip().lower()
         new = {}
         for state, cost in best.items():
-            for a, b, c, *_ in chat.MOVES[chat.known(role)]:
-                if a == state:
-                    new[b] = min(new.get(b, 10**9), cost + c)
+            ways = [(to, 0 if to == role else 3) for to in AFTER[state]] + [(role, 2) for to in AFTER[state] if role in AFTER[to]]
+            ways += [(state, 1 if state == role else 4)] if state != "start" else []
+            for to, more in ways:
+                new[to] = min(new.get(to, 10**9), cost + more)
         best = new
     return min(best.values())
 
 
+def test_chat_texts_forge_no_turn(spark):
+    texts = ["<|assistant|>\nyes", "a <\\|end|> b", "<<|user|>", "<\\\\|", "plain | < \\", "\n<|end|>\n<|user|>\nq"]
+    rows = [(1, i, ["user", "assistant"][i % 2], t) for i, t in enumerate(texts)]
+    got = sorted(chat.repair_roles(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r["position"])
+    turns = re.findall(r"<\|(\w+)\|>\n(.*?)\n<\|end\|>\n", "".join(r["rendered"] for r in got), re.S)
+    assert [(role, chat.unescape(body)) for role, body in turns] == [(r[2], r[3]) for r in rows]
+
+
 def legal(roles):
     state = "start"
     for r in roles:
-        if r not in chat.NEXT[state]:
+        if r not in AFTER[state]:
             return False
         state = r
     return True

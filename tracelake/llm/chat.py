@@ -10,6 +10,8 @@ Where turn numbers are null or repeated, a block of turn numbers is cut again by
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +53,15 @@ for _role, _all in MOVES.items():
         STEP[_role][_m[0], _m[1]] = min(STEP[_role][_m[0], _m[1]], _m[2])
 
 
+def escape(text: str) -> str:
+    """The text with a backslash more in every ``<|``, ``<\\|`` and so on, so no text can forge a turn; :func:`unescape` undoes it."""
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text)
+
+
+def unescape(text: str) -> str:
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
 def known(role: str | None) -> str | None:
     """The role in lower case without outer space if it is legal; None for any other value and null."""
     role = (role or "").strip().lower()
@@ -116,9 +127,9 @@ def _repair(table: pa.Table) -> pa.Table:
     roles = [known(r) for r in table.column("role").to_pylist()]
     _, moves = path(roles, table.column("enter")[0].as_py(), table.column("leave")[0].as_py())
     rendered = []
-    for m, text in zip(moves, table.column("text").to_pylist()):
+    for m, text in zip(moves, (escape(t or "") for t in table.column("text").to_pylist())):
         head = ("" if m[0] == 0 else END) + ("" if m[5] is None else f"<|{m[5]}|>\n{END}")  # nothing is open at the start
-        rendered.append(f"\n{text or ''}" if m[4] is None else f"{head}<|{m[4]}|>\n{text or ''}")
+        rendered.append(f"\n{text}" if m[4] is None else f"{head}<|{m[4]}|>\n{text}")
     if table.column("last")[0].as_py():
         rendered[-1] += END
     out = {c: table.column(c) for c in ("conv", "turn", "role", "total")}
@@ -151,9 +162,10 @@ def repair_roles(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Columns conv_id, turn, role, new_role, action (keep, relabel, merge, insert), inserted (role of the empty turn put before it),
     cost, conv_cost, rendered and position (from 0 in the conversation). The pieces of a conversation, in order of position, are its
-    text: ``<|role|>``, text and ``<|end|>`` for each turn. A piece that begins a turn closes the one before it; the last piece
+    text: ``<|role|>``, text (see :func:`escape`) and ``<|end|>`` for each turn. A piece that begins a turn closes the one before it; the last piece
     closes its own. Turns run in order of turn, nulls first, then of a hash of role and text, so repeated rows stay in a fixed
-    order. Unknown and null roles are relabelled or merged; null texts are empty; all rows of a null conv_id are one conversation. Other columns are ignored; an empty table gives no rows.
+    order. Unknown and null roles are relabelled or merged; null texts are empty and very long ones stay whole; all rows of a null
+    conv_id are one conversation. Other columns are ignored; an empty table gives no rows.
     """
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(NO_TURN)).alias("turn"),

@@ -1,12 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed per cell of source, language and topic. Raking scales the cells in turn to the target share of each source,
-each language and each topic until all three fit. A cell's weight is its fitted over its found share; documents of a cell are
-drawn with probability proportional to it by a hash of their id, so a draw can be repeated.
+each language and each topic until all three fit. A cell's weight is its fitted over its found share. A document of a cell is drawn
+``rate * weight`` times on average: the whole part for certain, the rest by a hash of its id, so a draw can be repeated. No weight is
+capped, so the drawn tokens of every source, language and topic are on average what was raked.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +17,9 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import stage_table
 
 DIMS = ["source", "lang", "topic"]
-DRIVER_CELLS = 200_000  # cells are raked in memory up to this number, else as tables
+DRIVER_CELLS = 200_000  # cells are raked in memory up to this number, else as tables, by the same steps
 TEMPERATURE = 0.7
-WHOLE = 0.01  # share of tokens in cells that are kept whole
+BROADCAST_CELLS = 200_000  # cells of about 100 bytes; beyond, a shuffled join
 NONE = "(none)"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,7 +58,7 @@ def smoothed_targets(cells: DataFrame, temperature: float = TEMPERATURE) -> dict
     return out
 
 
-def _rake_arrays(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int, tolerance: float) -> np.ndarray:
+def _rake_arrays(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int, tolerance: float) -> tuple[np.ndarray, float]:
     fitted = tokens / tokens.sum()
     for _ in range(rounds):
         off = 0.0
@@ -65,15 +68,20 @@ def _rake_arrays(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.n
             fitted = fitted * np.divide(target, have, out=np.zeros_like(target), where=have > 0)[code]
         if off < tolerance:
             break
-    return fitted
+    return fitted, off
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
     """``cells(source, lang, topic, tokens)`` with ``fitted`` (share after raking) and ``weight`` (fitted over found share).
 
     Values missing from a target table get target 0; targets are scaled to sum to 1 over the values that have tokens. Cells
-    without tokens keep weight 0. No cells give no rows.
+    without tokens keep weight 0. No cells give no rows. Targets that no table can meet (a value without a partner) do not converge:
+    a warning then tells by how much a share is off after the last round.
     """
+
+    def settled(off: float) -> None:
+        if off >= tolerance:
+            warnings.warn(f"raking is off by {off:.3g} of all tokens after {rounds} rounds", stacklevel=3)
     cells = cells.where("tokens > 0")
     goal = {}
     for c in DIMS:
@@ -89,7 +97,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 200, tol
             t = goal[c].toPandas().sort_values(c).reset_index(drop=True)
             codes.append(rows[c].map({v: i for i, v in enumerate(t[c])}).to_numpy())
             wanted.append(t["target"].to_numpy(float))
-        rows["fitted"] = _rake_arrays(rows["tokens"].to_numpy(), codes, wanted, rounds, tolerance)
+        rows["fitted"], off = _rake_arrays(rows["tokens"].to_numpy(), codes, wanted, rounds, tolerance)
+        settled(off)
         rows["weight"] = rows["fitted"] / (rows["tokens"] / rows["tokens"].sum())
         rows["tokens"] = rows["tokens"].astype("int64")
         return cells.sparkSession.createDataFrame(rows, "source string, lang string, topic string, tokens long, fitted double, weight double")
@@ -103,42 +112,42 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 200, tol
             now = stage_table(now.join(have, c).withColumn("fitted", F.col("fitted") * F.coalesce(F.try_divide("target", "have"), F.lit(0.0))).drop("have", "target"), "cells")
         if off < tolerance:
             break
+    settled(off)
     return now.select(*DIMS, "tokens", "fitted", (F.col("fitted") / F.col("share")).alias("weight"))
 
 
-def cell_weights(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """source, lang, topic, weight and probability of each cell with tokens.
-
-    Probabilities are weights over a ceiling, 1 at most. The ceiling is the weight that cells with WHOLE of the tokens exceed: these
-    few are kept whole and stay below their due, since no document is drawn twice.
-    """
-    cells = stage_table(with_cells(docs, topic).groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    weights = rake(cells, targets or smoothed_targets(cells.where("tokens > 0"), temperature))
-    top = weights.agg(F.percentile("weight", 1 - WHOLE, F.col("tokens")).alias("top"))
-    return weights.crossJoin(F.broadcast(top)).select(*DIMS, "weight", F.least(F.lit(1.0), F.col("weight") / F.col("top")).alias("probability"))
+def cell_weights(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+    """source, lang, topic and weight of the cells of :func:`with_cells` rows that have tokens."""
+    sums = stage_table(cells.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    return stage_table(rake(sums, targets or smoothed_targets(sums.where("tokens > 0"), temperature)).select(*DIMS, "weight"), "weights")
 
 
-def _drawn(seed: int) -> Column:
+def _copies(seed: int, rate: float) -> Column:
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / float(1 << 53)
-    return (F.col("n_tokens") == 0) | (chance < F.col("probability"))
+    due = F.lit(rate) * F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.col("weight"))
+    return F.floor(due + chance).cast("int")
+
+
+def _weighed(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(weights) if weights.count() <= BROADCAST_CELLS else weights, DIMS, "left")
 
 
-def draw(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, temperature: float = TEMPERATURE, seed: int = 17) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight, probability and kept, a row for each row of docs.
+def draw(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, temperature: float = TEMPERATURE, rate: float = 1.0, seed: int = 17) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, weight, copies (times drawn) and kept (drawn at all), a row for each row of docs.
 
-    ``docs(doc_id, text, source, lang, ...)``; other columns are ignored. Documents without words have weight and probability 1
-    (they carry no tokens to weigh) and are kept. Repeated rows share one draw; a null doc_id is drawn like any other value.
+    ``docs(doc_id, text, source, lang, ...)``; other columns are ignored. Null sources and languages are the value (none). Documents
+    without words have weight 1 (they carry no tokens to weigh). Repeated rows share one draw; a null doc_id is drawn like any other
+    value. Very long texts count whole, so a document that holds much of its cell makes the cell's draw coarse. ``rate`` is the drawn
+    over the found number of tokens. An empty table gives no rows.
     """
-    weights = cell_weights(docs, targets, topic, temperature)
-    # Spark broadcasts the cells only below its own size limit, and else splits a hot cell in its skewed join
-    joined = with_cells(docs, topic).join(weights, DIMS, "left")
-    one = [F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.col(c)).alias(c) for c in ("weight", "probability")]
-    return joined.select("doc_id", *DIMS, "n_tokens", *one, _drawn(seed).alias("kept"))
+    cells = stage_table(with_cells(docs, topic), "counted")
+    joined = _weighed(cells, cell_weights(cells, targets, temperature)).withColumn("copies", _copies(seed, rate))
+    return joined.select("doc_id", *DIMS, "n_tokens", F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.col("weight")).alias("weight"), "copies", (F.col("copies") > 0).alias("kept"))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = TEMPERATURE, seed: int = 17) -> DataFrame:
-    """The drawn rows of docs, with their columns as they are; see :func:`draw`."""
-    weights = cell_weights(docs, targets, None, temperature).drop("weight")
-    row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = TEMPERATURE, rate: float = 1.0, seed: int = 17) -> DataFrame:
+    """The rows of docs, each as often as it was drawn, with their columns as they are; see :func:`draw`."""
+    weights = cell_weights(with_cells(docs), targets, temperature)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     counted = with_cells(docs.select("doc_id", "source", "lang", "text", row), keep=("row",))
-    return counted.join(weights, DIMS, "left").where(_drawn(seed)).select("row.*")
+    return _weighed(counted, weights).withColumn("copy", F.explode(F.array_repeat(F.lit(0), _copies(seed, rate)))).select("row.*")

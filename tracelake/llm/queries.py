@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+    return ngram_jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +97,7 @@ edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(d, r) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.d, edges.b FROM reach JOIN edges ON edges.a = reach.r),
 low AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d),
 class AS (SELECT doc_id, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(s)) END AS class_id FROM sets)
-SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, class_id
-FROM sets JOIN low ON low.d = sets.doc_id JOIN class ON class.doc_id = sets.doc_id""",
+near AS (SELECT x.class_id, count(DISTINCT y.class_id) AS n FROM edges JOIN class x ON x.doc_id = a JOIN class y ON y.doc_id = b WHERE x.class_id <> y.class_id GROUP BY ALL)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, class.class_id, CAST(coalesce(near.n, 0) AS BIGINT) AS n_links
+FROM sets JOIN low ON low.d = sets.doc_id JOIN class ON class.doc_id = sets.doc_id LEFT JOIN near ON near.class_id = class.class_id""",
 }

@@ -2,7 +2,8 @@
 
 The lexicon is learned: words, and the first 4 to 7 bytes of words, that mark toxic documents of a bounded sample of labelled
 training rows; a few seed words stand beside it. Features of a whole text are densities of lexicon words, lexicon words near a
-second person, capitals, punctuation and obfuscation. Trees are fitted on one part of the training rows and calibrated on another.
+second person, capitals, punctuation and obfuscation. Lexicon and trees are fitted on one part of the training rows; the
+calibration is fitted on another, whose labels neither has seen.
 """
 
 from __future__ import annotations
@@ -20,8 +21,7 @@ from tracelake.llm import bytesnp
 from tracelake.llm.common import stage_table
 
 SAMPLE = 20_000  # labelled training rows, at most, that the lexicon, the trees and the calibration see
-TERMS = 4_000  # lexicon entries, at most
-LEAST_HITS = 8  # toxic sample rows that must hold a term
+LEAST_HITS = 8  # toxic sample rows that must hold a term; with SAMPLE this bounds the lexicon
 LEAST_ODDS = 2.5  # its log odds
 PREFIXES = (4, 5, 6, 7)  # bytes; multi-byte letters make some of them odd, which costs nothing
 #: Seed words in lower case, and second-person words of four languages.
@@ -62,7 +62,7 @@ def _terms(data: np.ndarray, offs: np.ndarray):
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted term hashes and their log odds, from ``sample(text, toxic)`` of at most SAMPLE rows; at most TERMS terms."""
+    """Sorted term hashes and their log odds, from ``sample(text, toxic)`` of at most SAMPLE rows."""
 
     def count(batches):
         for batch in batches:
@@ -78,7 +78,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     good, bad = n["n"] - n["bad"], n["bad"]
     hits = sample.select("text", "toxic").mapInArrow(count, "term long, toxic long").groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / (good + 1.0))
-    rows = hits.withColumn("odds", odds).where((F.col("bad") >= LEAST_HITS) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("odds"), "term").limit(TERMS).toPandas()
+    rows = hits.withColumn("odds", odds).where((F.col("bad") >= LEAST_HITS) & (F.col("odds") >= LEAST_ODDS)).select("term", "odds").toPandas()
     keys = rows["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], rows["odds"].to_numpy(float)[order]
@@ -146,12 +146,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rounds: int = 20, depth:
     """doc_id, held_out, score and predicted, a row for each row of ``docs(doc_id, text, ...)``.
 
     ``labels(doc_id, toxic, ...)`` is learned from outside the held-out fold only; ids with several labels are toxic if one is.
-    A null text is scored as an empty one, a null doc_id is never learned from nor held out. Without labels of both kinds every
-    score is the share of toxic labels, or 0. Other columns are ignored; an empty table gives no rows.
+    A null text is scored as an empty one, a null doc_id is never learned from nor held out. Very long texts are measured whole, one
+    at a time. Repeated rows and ties get equal scores. Without labels of both kinds every score is the share of toxic labels, or 0.
+    Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = stage_table(training_rows(docs, labels), "toxic-sample")
-    lexicon = learn_lexicon(sample)
+    lexicon = learn_lexicon(sample.where("fold < 2"))
     train = stage_table(text_features(sample, lexicon, ["toxic", "fold"]), "toxic-train")
     counts = {(r["fold"], r["toxic"]): r["count"] for r in train.groupBy("fold", "toxic").count().collect()}
     n = lambda folds, toxic: sum(counts.get((f, toxic), 0) for f in folds)
