@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tracelake.llm import bytesnp, ngram_join, suffix_dedup
+from tracelake.llm import bytesnp, common, ngram_join, suffix_dedup
 from tracelake.llm.common import connected_components
 from tracelake.llm.decontaminate import benchmark_matches, contamination, decontaminate, tile
 
@@ -64,8 +65,9 @@ def corpus(seed=5):
 @pytest.mark.parametrize("small", [False, True])
 def test_ngram_join(spark, monkeypatch, small):
     if small:  # many tiles, and common shingles pushed back
-        for name, value in (("TILE", 6), ("TEXT_TILE", 6), ("HOT_BLOCK", 400), ("HOT_LOCAL", 4), ("BROADCAST_ROWS", 0)):
+        for name, value in (("TILE", 6), ("TEXT_TILE", 6), ("HOT_BLOCK", 400), ("HOT_LOCAL", 4), ("BROADCAST_ROWS", 0), ("WEIGH", 40)):
             monkeypatch.setattr(ngram_join, name, value)
+        monkeypatch.setattr(common, "HOT", 10)
     rows = corpus()
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, rep string, n int")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_components(docs).collect()}
@@ -105,6 +107,9 @@ def test_ngram_join_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, ngram_join.ngram_jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect()), key=repr)
     assert got == sorted([(None, 2, None), (1, 2, 1), (1, 2, 1), (2, 1, 2)], key=repr)
+    again = spark.createDataFrame([*rows, (3, None), (3, None), (4, "")], "doc_id long, text string").withColumns({"Rep": F.lit("clash"), "n": F.lit(1)})
+    kept = ngram_join.deduplicate(again)
+    assert kept.columns == again.columns and sorted((r[0] or 0, r[1] or "") for r in kept.collect()) == [(0, "a b c d e f"), (1, "a b c d e f"), (2, "x y z"), (3, ""), (4, "")]
     kept = ngram_join.deduplicate(spark.createDataFrame(corpus(), "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in components(corpus()).values()})
 
@@ -147,7 +152,7 @@ def test_suffix_dedup_of_registered_length(spark, monkeypatch, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     from tracelake.llm.queries import QUERIES
 
-    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    monkeypatch.setattr(common, "HOT", 20)
     for shard in (None, 1 << 15):
         if shard:
             monkeypatch.setattr(suffix_dedup, "SHARD", shard)
@@ -168,7 +173,7 @@ def test_suffix_dedup(spark, monkeypatch, length, shard):
         rows.append((i, s * (1 + (i % 9 == 0))))
     rows += [(200, None), (201, ""), (202, "a" * 100), (203, rows[3][1]), (204, "é" * 60)]
     docs = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id long, text string, spans string")
-    monkeypatch.setattr(suffix_dedup, "HOT", 4)  # some anchors take the way of hot ones
+    monkeypatch.setattr(common, "HOT", 4)  # some anchors take the way of hot ones
     assert digests(docs, length) == removed(rows, length)
     assert suffix_dedup.repeat_digests(docs.limit(0), length).count() == 0
 
@@ -215,14 +220,52 @@ def test_decontamination(spark):
     assert decontaminate(docs, bench.limit(0)).count() == 7 and decontaminate(docs.limit(0), bench).count() == 0
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
+def brute_tiles(text, item, least):
+    """Greedy string tiling by its definition: the longest common run of unmarked words, again and again."""
+    used_text, used_item, out = set(), set(), []
+    while True:
+        best = None
+        for i in range(len(item)):
+            for d in range(len(text)):
+                n = 0
+                while i + n < len(item) and d + n < len(text) and item[i + n] == text[d + n] and i + n not in used_item and d + n not in used_text:
+                    n += 1
+                if n >= least and (best is None or n > best[2]):
+                    best = (d, i, n)
+        if best is None:
+            return out
+        out.append(best)
+        used_text.update(range(best[0], best[0] + best[2]))
+        used_item.update(range(best[1], best[1] + best[2]))
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_tiling_by_brute_force(spark, monkeypatch, shuffled):
     from tracelake.llm import decontaminate as module
 
-    bench = spark.createDataFrame([(i, " ".join(f"b{i}w{j}" for j in range(12))) for i in range(20)], "item_id long, text string")
-    docs = spark.createDataFrame([(i, " ".join(f"b{i}w{j}" for j in range(12))) for i in range(0, 20, 3)], "doc_id long, text string")
-    monkeypatch.setattr(module, "BLOCK_BYTES", 300)
-    got = {r["doc_id"]: [x["item_id"] for x in r["found"]] for r in benchmark_matches(docs, bench).collect()}
-    assert got == {i: [i] for i in range(0, 20, 3)}
+    random.seed(11)
+    if shuffled:  # a benchmark too large to broadcast
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 10)
+    monkeypatch.setattr(module, "HITS", 7)
+    text = lambda n: [random.choice("abc") for _ in range(n)]
+    items = [(i, " ".join(text(random.randint(0, 14)))) for i in range(8)] + [(20, "a " * 12), (20, "A a a a a b"), (None, "b b b b c c"), (21, None)]
+    rows = [(i, " ".join(text(random.randint(0, 20)))) for i in range(25)] + [(90, "a " * 30), (91, None), (91, None), (None, "B b B b c")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, Found string")
+    with pytest.raises(ValueError):
+        benchmark_matches(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = benchmark_matches(docs, spark.createDataFrame(items, "item_id long, text string"), 3, "hits").collect()
+    want = []
+    for d, t in rows:
+        found = []
+        for i, x in items:
+            words = lower(x or "").split()
+            tiles = brute_tiles(lower(t or "").split(), words, 3)
+            if tiles:
+                found.append((str(i), len(words), sum(n for *_, n in tiles), sorted(tiles)))
+        want.append((str(d), t, sorted(found)))
+    have = [(str(r["doc_id"]), r["text"], sorted((str(x["item_id"]), x["n_words"], x["n_covered"], sorted(map(tuple, x["tiles"]))) for x in r["hits"])) for r in got]
+    assert sorted(have, key=repr) == sorted(want, key=repr)
+    assert decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).columns == docs.columns
 
 
 def test_words_like_the_pattern():

@@ -9,6 +9,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HOT = 10_000  # rows of a key beyond which it meets by broadcast; raised so that at most HOT_ROWS keys do
+HOT_ROWS = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
@@ -45,6 +48,24 @@ def free_name(name: str, columns: Iterable[str]) -> str:
     return name
 
 
+def meet(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined with ``table``, which has a row for each of their keys and in ``count`` how many rows have it.
+
+    A key with very many rows would be one key of a join. Such keys are few, at most HOT_ROWS, whatever the input: these meet by
+    broadcast, the others by a shuffled join. Rows with a null key are left out. Both sides are read twice.
+    """
+    most = max(HOT, (table.agg(F.sum(count)).first()[0] or 0) // HOT_ROWS)
+    hot = table.where(F.col(count) > most)
+    cold = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(table.where(F.col(count) <= most), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+def with_leaders(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows whose key occurs twice or more, with ``lead``, the least value of their key."""
+    lead = stage_table(rows.groupBy(key).agg(F.min(value).alias("lead"), F.count("*").alias("_rows")).where("_rows > 1"), "leads")
+    return meet(rows, lead, [key], "_rows").drop("_rows")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label every node of ``edges(a, b)`` with the smallest node it reaches: columns ``node, label``.
 

@@ -21,16 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import bytesnp
-from tracelake.llm.common import connected_components, stage_table
+from tracelake.llm.common import connected_components, stage_table, with_leaders
 
 HOT_BLOCK = 1 << 21  # shingles counted together in a task
 HOT_LOCAL = 16  # a shingle is common if it has this mean count a block; so at most HOT_BLOCK / HOT_LOCAL are common
-TILE = 8192  # documents of one side of a tile of bitmaps, of two bits and up to four a shingle
+TILE = 8192  # weight of one side of a tile of bitmaps, of two bits and up to four a shingle
 TEXT_TILE = 8192  # ... of a tile of texts
+WEIGH = 512  # shingles that weigh as much as a document of none, so a side holds WEIGH * TILE shingles at most
 TILE_KEY = ["lead", "b", "t", "i", "j"]
 ROUGH, SHARP = 2, 8  # bits for each shingle of bitmaps that travel, and of those made within a tile
 SALTS = 64  # parts of a large group that meet its size
@@ -92,21 +93,8 @@ def _signed(x: list) -> pa.Array:
     return pa.array(np.array(x, bytesnp.U).view(np.int64))
 
 
-def digests(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, size of the shingle set and the sums that name it."""
-
-    def name(batches):
-        for batch in batches:
-            for at, to, data, offs in bytesnp.pieces(batch.column(1)):
-                sets = bytesnp.shingle_sets(data, offs, k)
-                d1, d2 = zip(*map(_sums, sets))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], pa.array([len(u) for u in sets], pa.int64()), _signed(d1), _signed(d2)], names=["doc_id", "n", "d1", "d2"])
-
-    return docs.select("doc_id", "text").mapInArrow(name, "doc_id long, n long, d1 long, d2 long")
-
-
 def signatures(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """:func:`digests` with the prefix and the parity bitmap of each set."""
+    """doc_id, size of the shingle set, the sums that name it, its prefix and its parity bitmap."""
 
     def sign(batches):
         for batch in batches:
@@ -127,10 +115,11 @@ def tiles(members: DataFrame, num: int, den: int, most: int) -> DataFrame:
     """Deal ``members(lead, doc, n, ...)`` to tiles: one for a small group, else size bands times pairs of hashed blocks.
 
     The sizes of large groups, at most a row for ``most`` members, meet their members by lead and salt: a large group is spread
-    over tasks here, and its tiles are shuffled apart afterwards and don't stay where their lead is.
+    over tasks here, and its tiles are shuffled apart afterwards and don't stay where their lead is. ``most`` is a weight: that of
+    documents and their shingles together, so a tile of long texts holds fewer.
     """
     members = members.withColumn("band", F.floor(F.log("n") / float(np.log(den / num))).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    size = members.groupBy("lead").agg(F.count("*").alias("size"), F.collect_set("band").alias("bands"))
+    size = members.groupBy("lead").agg(F.sum(1 + F.col("n") / WEIGH).alias("size"), F.collect_set("band").alias("bands"))
     big = size.where(F.col("size") > most).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     m = members.join(big, ["lead", "salt"], "left").withColumn("k", F.ceil(F.col("size") / most).cast("int")).withColumn("s", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
     one = F.array(F.struct(F.lit(0).alias("b"), F.lit(-1).alias("t"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
@@ -305,13 +294,12 @@ def _counts(k: int, num: int, den: int):
 def _dealt(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, bool]:
     """Members of ``docs``, the texts of class representatives in their tiles, and whether a pair can meet in more than one."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = signatures(known, k, num, den, common_shingles(known, k)).where("n > 0 and doc_id is not null")
+    signed = stage_table(signatures(known, k, num, den, common_shingles(known, k)), "signatures")
+    keyed = signed.where("n > 0 and doc_id is not null")
     classes = keyed.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("toks", "bitmap"), "doc_id").alias("x"))
     classes = stage_table(classes.select("n", "d1", "d2", "rep", "x.toks", "x.bitmap"), "classes")
     one = classes.select(F.col("rep").alias("doc"), "n", "bitmap")
-    # the running smallest of a sorted partition: rows stream through, no group is held
-    order = Window.partitionBy("tok").orderBy("doc")
-    listed = classes.select(F.col("rep").alias("doc"), F.explode("toks").alias("tok")).withColumn("lead", F.first("doc").over(order))
+    listed = with_leaders(classes.select(F.col("rep").alias("doc"), F.explode("toks").alias("tok")), "tok", "doc")
     found = stage_table(listed.where("doc <> lead").select("lead", "doc").distinct(), "groups")
     groups = found.unionByName(found.select("lead", F.col("lead").alias("doc")).distinct()).join(one, "doc")
     likely = tiles(groups, num, den, TILE).groupBy(*TILE_KEY).applyInArrow(_joined(num, den), "a long, b long")
@@ -320,7 +308,7 @@ def _dealt(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     dealt = tiles(part.join(one.select(F.col("doc").alias("doc_id"), "n"), "doc_id").withColumnRenamed("doc_id", "doc"), num, den, TEXT_TILE)
     dealt = stage_table(dealt.withColumnRenamed("doc", "doc_id"), "dealt")
     texts = known.join(F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt, "doc_id").withColumnRenamed("doc_id", "doc")
-    members = digests(known, k).join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left")
+    members = signed.select("doc_id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left")
     members = members.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     sizes = dealt.groupBy("doc_id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     return members, texts, not sizes.where("least < most").isEmpty()
@@ -365,6 +353,12 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
 
 
 def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs that stay: of each component the one of smallest doc_id. Rows without doc_id stay."""
-    heads = ngram_jaccard_components(docs, k, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """The rows of docs that stay: of each component the one of smallest doc_id.
+
+    Rows with one doc_id and one text are copies, and one of them stays; rows without doc_id are not judged and stay. Null and empty
+    texts link with nothing and stay. Other columns are kept as they are; an empty table gives no rows.
+    """
+    heads = ngram_jaccard_components(docs, k, num, den).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c"))
+    heads = stage_table(heads, "heads")
+    once, again = (docs.join(heads.where(c).select("doc_id"), "doc_id", "left_semi") for c in ("c = 1", "c > 1"))
+    return once.union(again.dropDuplicates(["doc_id", "text"])).union(docs.where("doc_id is null"))

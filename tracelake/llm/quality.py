@@ -4,6 +4,9 @@ Statistics of a text become a vector of transformed ratios. The minimum-covarian
 language and source is found by concentration steps from two deterministic starts: distances, the group's quantile of them (a
 mergeable sketch), and the mean and covariance of the nearest part. Every step is two aggregations with partial sums, so a group
 that holds a third of the rows costs no task more. A reweighted estimate gives the distances that decide.
+
+What is estimated of a group is shrunk towards its language, and that towards all: the estimate above counts as much as PRIOR rows.
+So each group has its own estimate whatever its size, a small one leans on its language, and no group is pooled or let pass.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from tracelake.llm.common import stage_table
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_digits", "n_points", "n_bytes", "n_distinct", "n_lines"]
 FEATURES = ["f_word", "f_caps", "f_points", "f_odd", "f_distinct"]
-MIN_GROUP = 200  # smaller groups of a language are pooled, and pools that stay smaller across languages
+PRIOR = 200.0  # rows that the estimate of the language (or of all languages) counts for in that of a group (or a language)
+SKETCH = 5_000  # accuracy of quantiles: ranks are right to one part in so many
 SUBSET = 0.75
 STEPS = 4
 TAIL = 8.0  # standard normal quantile of the cutoff
@@ -123,21 +127,33 @@ def _features(stats: DataFrame) -> DataFrame:
     })
 
 
-def _joined(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
-    """Groups are few, but a language or source column can hold anything: their number is checked before they are broadcast."""
-    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, on)
+def _shrunk(groups: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """``groups(g, l, n, *by, *columns)`` with its columns, arrays of means over n rows, shrunk to those of l and of all.
+
+    A row for each group, so a small table; ``by`` names estimates that are kept apart.
+    """
+    size = len(FEATURES) * (len(FEATURES) + 1) // 2
+
+    def over(keys: list[str], level: str) -> DataFrame:
+        sums = {c: F.array(*(F.sum(F.get(c, F.lit(i)) * F.col("n")) for i in range(size))) for c in columns}
+        return groups.groupBy(*keys).agg(F.sum("n").alias(f"{level}_n"), *(x.alias(f"{level}_{c}") for c, x in sums.items()))
+
+    everything, lang = over(by, "a"), over(["l", *by], "l")
+    joined = groups.join(lang, ["l", *by])
+    joined = joined.join(everything, by) if by else joined.crossJoin(F.broadcast(everything))
+    out = [F.expr(f"transform({c}, (x, i) -> (n * x + {PRIOR}D * (l_{c}[i] + {PRIOR}D * a_{c}[i] / a_n) / (l_n + {PRIOR}D)) / (n + {PRIOR}D))").alias(c) for c in columns]
+    return joined.select("g", "l", "n", *by, *out)
 
 
 def _solve(frames):
-    """Mean and inverse covariance of each group from its sums; directions without spread get a small floor."""
+    """Mean and inverse covariance of each group from its first and second moments; directions without spread get a small floor."""
     p = len(FEATURES)
     for frame in frames:
         out = []
         for r in frame.itertuples(index=False):
-            n = max(r.n, 1)
-            mean = np.array(r.s) / n
+            mean = np.array(r.s)
             cov = np.zeros((p, p))
-            cov[np.triu_indices(p)] = np.array(r.ss) / n
+            cov[np.triu_indices(p)] = np.array(r.ss)
             cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(mean, mean)
             cov += np.diag(np.maximum(FLOOR**2, 1e-3 * np.maximum(np.diag(cov), np.array(r.floor))))
             sign, det = np.linalg.slogdet(cov)
@@ -147,8 +163,11 @@ def _solve(frames):
 
 def _moments(rows: DataFrame, floor: DataFrame) -> DataFrame:
     p = range(len(FEATURES))
-    sums = rows.groupBy("g", "start").agg(F.count("*").alias("n"), F.array(*(F.sum(FEATURES[i]) for i in p)).alias("s"), F.array(*(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in p for j in p if i <= j)).alias("ss"))
-    fit = sums.join(floor, "g").mapInPandas(_solve, "g string, start int, mean array<double>, inv array<double>, det double")
+    sums = rows.groupBy("g", "l", "start").agg(F.count("*").alias("n"), F.array(*(F.avg(FEATURES[i]) for i in p)).alias("s"), F.array(*(F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in p for j in p if i <= j)).alias("ss"))
+    # a group none of whose rows is near has the estimate of its language
+    nothing = lambda k: F.array_repeat(F.lit(0.0), k)
+    sums = floor.select("g", "l").join(sums.drop("l"), "g", "left").select("g", "l", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("s", nothing(len(p))).alias("s"), F.coalesce("ss", nothing(len(p) * (len(p) + 1) // 2)).alias("ss"))
+    fit = _shrunk(sums, ["s", "ss"], ["start"]).join(floor.drop("l"), "g").mapInPandas(_solve, "g string, start int, mean array<double>, inv array<double>, det double")
     return stage_table(fit, "moments")
 
 
@@ -165,56 +184,59 @@ def chi_square_quantile(p: int, z: float) -> float:
 
 
 def robust_distances(rows: DataFrame) -> DataFrame:
-    """Add ``distance`` (squared, scaled so that a group's median is that of chi-square) to rows with FEATURES and ``g``.
+    """Add ``distance`` (squared, scaled so that a large group's median is that of chi-square) to rows with FEATURES, ``g`` and ``l``.
 
-    A group of equal rows has distances 0; an empty table gives no rows.
+    ``g`` is a group and ``l`` the language that it belongs to. A group of equal rows has distances near 0; an empty table gives
+    no rows.
     """
-    p, med = len(FEATURES), 20_000
-    mid = rows.groupBy("g").agg(F.array(*(F.percentile_approx(c, 0.5, med) for c in FEATURES)).alias("mid"))
-    mid = stage_table(mid, "medians")
-    dev = _joined(rows, mid, ["g"]).groupBy("g").agg(F.array(*(F.percentile_approx(F.abs(F.col(c) - F.col("mid")[i]), 0.5, med) * 1.4826 for i, c in enumerate(FEATURES))).alias("mad"), F.array(*(F.coalesce(F.var_samp(c), F.lit(0.0)) for c in FEATURES)).alias("floor"))
-    scale = stage_table(mid.join(dev, "g"), "scales")
-    floor = scale.select("g", "floor")
+    p = len(FEATURES)
+    # a language or source column can hold anything: the number of groups is checked before a table of them is broadcast
+    few = rows.select("g").distinct().count() <= BROADCAST_GROUPS
+    met = lambda groups: F.broadcast(groups) if few else groups
+    quantile = lambda c, q: F.percentile_approx(c, q, SKETCH)
+    mid = rows.groupBy("g", "l").agg(F.count("*").alias("n"), F.array(*(quantile(c, 0.5) for c in FEATURES)).alias("mid"))
+    mid = stage_table(_shrunk(mid, ["mid"], []).select("g", "mid"), "medians")
+    dev = rows.join(met(mid), "g").groupBy("g", "l").agg(F.count("*").alias("n"), F.array(*(quantile(F.abs(F.col(c) - F.col("mid")[i]), 0.5) * 1.4826 for i, c in enumerate(FEATURES))).alias("mad"), F.array(*(F.coalesce(F.var_samp(c), F.lit(0.0)) for c in FEATURES)).alias("floor"))
+    scale = stage_table(mid.join(_shrunk(dev, ["mad", "floor"], []).select("g", "l", "mad", "floor"), "g"), "scales")
+    floor = scale.select("g", "l", "floor")
+    scale = scale.drop("l")
     spread = f"transform(mad, (m, i) -> greatest(m * m, 1e-2 * floor[i], {FLOOR**2}D))"
     flat = ", ".join(f"if({i} = {j}, 1.0 / x[{i}], 0.0)" for i in range(p) for j in range(p))
     plain = scale.selectExpr("g", "0 as start", "mid as mean", f"transform(array({spread}), x -> array({flat}))[0] as inv", "0.0D as det")
     # the second start: moments of rows pulled in by tanh, scaled back
-    pulled = _joined(rows, scale.withColumn("sd", F.expr(f"transform({spread}, v -> sqrt(v))")), ["g"])
-    pulled = pulled.select("g", F.lit(1).alias("start"), *((F.col("mid")[i] + F.col("sd")[i] * F.tanh((F.col(c) - F.col("mid")[i]) / (2 * F.col("sd")[i])) * 2).alias(c) for i, c in enumerate(FEATURES)))
+    pulled = rows.join(met(scale.withColumn("sd", F.expr(f"transform({spread}, v -> sqrt(v))"))), "g")
+    pulled = pulled.select("g", "l", F.lit(1).alias("start"), *((F.col("mid")[i] + F.col("sd")[i] * F.tanh((F.col(c) - F.col("mid")[i]) / (2 * F.col("sd")[i])) * 2).alias(c) for i, c in enumerate(FEATURES)))
     fits = stage_table(plain.unionByName(_moments(pulled, floor)), "starts")
     for _ in range(STEPS):
-        far = _joined(rows, fits, ["g"]).withColumn("d", _distance())
-        cut = stage_table(far.groupBy("g", "start").agg(F.percentile_approx("d", SUBSET, med).alias("cut")), "cuts")
-        fits = _moments(_joined(far, cut, ["g", "start"]).where("d <= cut"), floor)
-    best = stage_table(fits.groupBy("g").agg(F.min_by(F.struct("mean", "inv", F.lit(0).alias("start")), F.struct("det", "start")).alias("x")).select("g", "x.*"), "best")
+        far = rows.join(met(fits), "g").withColumn("d", _distance())
+        cut = stage_table(far.groupBy("g", "start").agg(quantile("d", SUBSET).alias("cut")), "cuts")
+        fits = _moments(far.join(met(cut), ["g", "start"]).where("d <= cut"), floor)
+    best = fits.groupBy("g").agg(F.min_by(F.struct("mean", "inv", F.lit(0).alias("start")), F.struct("det", "start")).alias("x")).select("g", "x.*")
     half = chi_square_quantile(p, 0.0)
-    far = _joined(rows, best, ["g"]).withColumn("d", _distance())
-    scales = stage_table(far.groupBy("g", "start").agg((F.greatest(F.percentile_approx("d", 0.5, med), F.lit(1e-12)) / half).alias("by")), "scales")
-    near = _joined(far, scales, ["g", "start"]).where(F.col("d") <= F.col("by") * chi_square_quantile(p, 1.96))
-    last = _moments(near, floor)
-    far = _joined(rows, last.drop("start"), ["g"]).withColumn("d", _distance())
-    scales = stage_table(far.groupBy("g").agg((F.greatest(F.percentile_approx("d", 0.5, med), F.lit(1e-12)) / half).alias("by")), "scales")
-    return _joined(far, scales, ["g"]).withColumn("distance", F.col("d") / F.col("by")).drop("mean", "inv", "det", "d", "by")
+
+    def scaled(fit: DataFrame) -> DataFrame:
+        far = rows.join(met(fit), "g").withColumn("d", _distance())
+        by = far.groupBy("g", "l").agg(F.count("*").alias("n"), F.array(F.greatest(quantile("d", 0.5), F.lit(1e-12)) / half).alias("by"))
+        return far.join(met(stage_table(_shrunk(by, ["by"], []).select("g", F.col("by")[0].alias("by")), "scales")), "g")
+
+    best = stage_table(best, "best")
+    near = scaled(best).where(F.col("d") <= F.col("by") * chi_square_quantile(p, 1.96))
+    last = _moments(near, floor).drop("start")
+    return scaled(last).withColumn("distance", F.col("d") / F.col("by")).drop("mean", "inv", "det", "d", "by")
 
 
 def quality_verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """doc_id, the counts of STATS, base_failed, distance (null where base_failed) and kept, a row for each row of docs.
 
-    ``docs(doc_id, text, lang, source, ...)``: null language or source is a group of its own, other columns are ignored. Rows
-    that fail the base rules take no part in the estimates. Groups under MIN_GROUP rows are pooled; a last pool that is still
-    smaller rejects nothing. Repeated rows count each. An empty table gives no rows.
+    ``docs(doc_id, text, lang, source, ...)``: a null language or source is one of its own, other columns are ignored. Null texts have
+    no words; very long ones are measured whole. Rows that fail the base rules take no part in the estimates. Repeated rows count
+    each and share a verdict. An empty table gives no rows.
     """
     stats = text_statistics(docs.select("doc_id", "lang", "source", "text"), ["doc_id", "lang", "source"])
     stats = stage_table(_features(stats.withColumn("base_failed", base_failed())), "statistics")
-    lang, pair = F.coalesce(F.col("lang").cast("string"), F.lit("\0")), F.concat_ws("\1", F.coalesce(F.col("lang").cast("string"), F.lit("\0")), F.coalesce(F.col("source").cast("string"), F.lit("\0")))
-    good = stats.where("not base_failed").withColumns({"l": lang, "p": pair})
-    pairs = good.groupBy("l", "p").agg(F.count("*").alias("n")).withColumn("own", F.col("n") >= MIN_GROUP)
-    rest = pairs.where("not own").groupBy("l").agg((F.sum("n") >= MIN_GROUP).alias("pooled"))
-    named = pairs.join(rest, "l", "left").select("p", F.when(F.col("own"), F.concat(F.lit("p"), "p")).when(F.col("pooled"), F.concat(F.lit("l"), "l")).otherwise(F.lit("all")).alias("g"))
-    named = stage_table(named, "groups")
-    far = robust_distances(_joined(good, named, ["p"]).drop("l", "p"))
-    size = stage_table(far.groupBy("g").agg(F.count("*").alias("in_group")), "sizes")
-    far = _joined(far, size, ["g"]).withColumn("kept", (F.col("distance") <= chi_square_quantile(len(FEATURES), tail)) | (F.col("in_group") < MIN_GROUP))
+    value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    good = stats.where("not base_failed").withColumns({"l": value("lang"), "g": F.concat_ws("\1", value("lang"), value("source"))})
+    far = robust_distances(good).withColumn("kept", F.col("distance") <= chi_square_quantile(len(FEATURES), tail))
     columns = ["doc_id", *STATS, "base_failed"]
     bad = stats.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return far.select(*columns, "distance", "kept").unionByName(bad)

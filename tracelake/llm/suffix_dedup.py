@@ -22,11 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import bytesnp
-from tracelake.llm.common import stage_table
+from tracelake.llm.common import stage_table, with_leaders
 
 SHARD = 1 << 21  # bytes of text sorted together
-HOT = 10_000  # places of an anchor beyond which it meets its leader by broadcast; raised so that at most HOT_ROWS are hot
-HOT_ROWS = 100_000
 TASKS = 20_000  # most tasks of the suffix sorts; each then sorts several shards, one after another
 
 
@@ -290,18 +288,9 @@ def _cut(length: int, gram: int, most: int):
 
 
 def _near(listed: DataFrame) -> DataFrame:
-    """``uid, near``: for each text with an anchor found twice the leaders and its anchors of each.
-
-    An anchor with very many places would be one key of a join. Such anchors are few, at most HOT_ROWS, whatever the input: these
-    meet their leaders by broadcast, the others by a shuffled join.
-    """
-    lead = stage_table(listed.groupBy("h").agg(F.min("uid").alias("lead"), F.count("*").alias("c")).where("c > 1"), "leads")
-    most = max(HOT, (lead.agg(F.sum("c")).first()[0] or 0) // HOT_ROWS)
-    hot = lead.where(F.col("c") > most).select("h", F.col("lead").alias("hot_lead"))
-    found = listed.join(F.broadcast(hot), "h", "left")
-    cold = found.where("hot_lead is null").drop("hot_lead").join(lead.where(F.col("c") <= most).select("h", "lead"), "h")
-    found = found.where("hot_lead is not null").select("h", "uid", "at", F.col("hot_lead").alias("lead")).unionByName(cold)
-    return found.groupBy("uid", "lead").agg(F.collect_list("at").alias("at")).groupBy("uid").agg(F.collect_list(F.struct("lead", "at")).alias("near"))
+    """``uid, near``: for each text with an anchor found twice the leaders and its anchors of each."""
+    found = with_leaders(listed, "h", "uid").groupBy("uid", "lead").agg(F.collect_list("at").alias("at"))
+    return found.groupBy("uid").agg(F.collect_list(F.struct("lead", "at")).alias("near"))
 
 
 def _kept(batches):

@@ -1,7 +1,9 @@
 """Token counts with offset-mapped attribution.
 
 Each whole text is encoded once by a byte-level BPE. The byte lengths of its tokens give their spans, and an interval join of these
-with the spans of the text's sections (both sorted, so a binary search) gives each section its tokens. A token that crosses a
+with the spans of the text's sections (both sorted, so a binary search) gives each section its tokens. Sections are the lines of a
+text or the fields of a row. Spans are in bytes, as a token may end inside a character; every border between characters is one
+between bytes. A token that crosses a
 border belongs by an explicit rule: ``start`` to the section of its first byte, ``most`` to the one that holds most of its bytes (the
 first of equals), ``split`` to each by its share of bytes.
 """
@@ -9,10 +11,12 @@ first of equals), ``split`` to each by its share of bytes.
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,27 +76,36 @@ def attribute(sizes: np.ndarray, borders: np.ndarray, rule: str) -> tuple[np.nda
     return out, len(cross)
 
 
-def token_counts(docs: DataFrame, vocabulary: str, rule: str = "start") -> DataFrame:
-    """doc_id, n_tokens, n_sections, n_crossing and section_tokens (a number for each line), a row for each row of docs.
+def token_counts(docs: DataFrame, vocabulary: str, rule: str = "start", fields: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, n_sections, n_crossing and section_tokens, a row for each row of docs.
 
-    ``docs(doc_id, text, ...)``; other columns are ignored. A null or empty text has no tokens and no sections. ``vocabulary`` is
-    the path of a rank file on every worker. Whatever the rule, section_tokens sums to n_tokens. An empty table gives no rows.
+    ``docs(doc_id, text, ...)``: section_tokens has a number for each line of text, with its line break. Where ``fields`` are given,
+    these columns joined by line breaks are the document, and section_tokens has a number for each, with the break after it. Other
+    columns are ignored. A null field is empty; a null or empty text has no tokens and no lines. Texts are encoded whole, one at a
+    time, however long. Whatever the rule, section_tokens sums to n_tokens. Repeated rows count each; an empty table gives no rows.
+    ``vocabulary`` is the path of a rank file where the driver runs; Spark sends it to the executors.
     """
     if rule not in RULES:
         raise ValueError(f"unknown rule {rule!r}")
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def count(batches):
+        ranks = SparkFiles.get(name)
         for batch in batches:
             total, sections, crossing, each = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                sizes = token_sizes(text or "", vocabulary)
-                borders = line_sections((text or "").encode())
-                held, cross = attribute(sizes, borders, rule)
-                total.append(len(sizes))
+            for text, sizes in zip(batch.column("text").to_pylist(), batch.column("sizes").to_pylist()):
+                held = token_sizes(text, ranks)
+                borders = line_sections(text.encode()) if sizes is None else np.concatenate([[0], np.cumsum(sizes)])
+                tokens, cross = attribute(held, borders, rule)
+                total.append(len(held))
                 sections.append(len(borders) - 1)
                 crossing.append(cross)
-                each.append(held)
+                each.append(tokens)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (total, sections, crossing)), pa.array(each, pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(count, f"doc_id {kind}, n_tokens long, n_sections long, n_crossing long, section_tokens array<double>")
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in fields or ["text"]]
+    whole = [x for c in texts for x in (c, F.lit("\n"))][:-1]
+    sizes = F.array(*(F.octet_length(c) + int(i < len(texts) - 1) for i, c in enumerate(texts))) if fields else F.lit(None).cast("array<int>")
+    return docs.select("doc_id", F.concat(*whole).alias("text"), sizes.alias("sizes")).mapInArrow(count, f"doc_id {kind}, n_tokens long, n_sections long, n_crossing long, section_tokens array<double>")

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import stage_table
+from tracelake.llm.common import meet, stage_table
 
 #: rule -> verdict. A rule is a host and a path; it fits the host and its subdomains where the path begins like the rule's.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -64,43 +64,43 @@ def templates(shapes: DataFrame) -> DataFrame:
     now, done, level = stage_table(shapes.withColumns(first), "shapes"), [], 0
     while True:
         # nodes that are not split: their shapes are finished
-        node = now.groupBy("host", "node").agg(F.sum("n").alias("all_n"), F.count_distinct("left").alias("kinds"))
+        node = now.groupBy("host", "node").agg(F.sum("n").alias("all_n"), F.count_distinct("left").alias("kinds"), F.count("*").alias("rows"))
         ends = (F.col("kinds") == 1) | (F.col("all_n") < SPLIT)
         rest = F.slice(F.col("left"), level + 1, F.greatest(F.size("left") - level, F.lit(0)))
         tail = F.when(F.col("kinds") == 1, rest).when(F.size("left") > level, F.array(F.lit(REST))).otherwise(F.array().cast("array<string>"))
         full = F.concat(F.lit("/"), F.array_join(F.concat("node", tail), "/"))
-        now = now.join(node, ["host", "node"]).withColumn("template", F.when(ends | (F.size("left") <= level), full))
-        now = stage_table(now.drop("all_n", "kinds"), "shapes")
+        now = meet(now, stage_table(node, "nodes"), ["host", "node"], "rows").withColumn("template", F.when(ends | (F.size("left") <= level), full))
+        now = stage_table(now.drop("all_n", "kinds", "rows"), "shapes")
         done.append(now.where("template is not null").drop("left", "node"))
         now = now.where("template is null")
         if now.isEmpty():
             break
         seg = F.get("left", F.lit(level))
-        child = now.groupBy("host", "node", seg.alias("seg")).agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
+        now = now.withColumn("seg", seg)
+        child = now.groupBy("host", "node", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "good")), F.count("*").alias("rows"))
         whole = child.groupBy("host", "node").agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good"))
         share = F.try_divide("all_good", "all_labelled")
         error = F.sqrt(share * (1 - share) / F.col("labelled"))
         rare = (F.col("kinds") >= MANY) & (F.col("kinds") > RARE * F.col("all_n")) & (F.col("n") < COMMON * F.col("all_n"))
         # evidence of likeness needs labels in the child and beside it
         alike = (F.col("kinds") > 1) & (F.col("labelled") > 0) & (F.col("labelled") < F.col("all_labelled")) & (F.abs(F.try_divide("good", "labelled") - share) <= ALIKE * error)
-        merged = child.join(whole, ["host", "node"]).where(rare | alike).select("host", "node", "seg", F.lit(True).alias("merged"))
-        # a node's children meet their shapes by segment; the wildcard branch of a large node is the only large key, and it is not joined on
-        now = now.withColumn("seg", seg).join(merged, ["host", "node", "seg"], "left")
+        merged = child.join(whole, ["host", "node"]).select("host", "node", "seg", "rows", F.coalesce(rare | alike, F.lit(False)).alias("merged"))
+        now = meet(now, stage_table(merged, "children"), ["host", "node", "seg"], "rows")
         branch = F.concat("node", F.array(F.when(F.col("merged"), F.lit(ANY)).otherwise(F.col("seg"))))
-        now = stage_table(now.withColumn("node", branch).drop("seg", "merged"), "shapes")
+        now = stage_table(now.withColumn("node", branch).drop("seg", "merged", "rows"), "shapes")
         level += 1
     return reduce(DataFrame.unionByName, done)
 
 
 def template_purity(known: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """host, template, n, labelled, good and purity: the labelled share of good pages, smoothed by the host's, and that by all."""
-    stats = stage_table(known.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "good"))), "templates")
+    """host, template, shapes, n, labelled, good and purity: the labelled share of good pages, smoothed by the host's, and that by all."""
+    stats = stage_table(known.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "good")), F.count("*").alias("shapes")), "templates")
     hosts = stats.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("good").alias("h_good"))
     total = stats.agg(F.sum("labelled").alias("t_labelled"), F.sum("good").alias("t_good"))
     overall = F.coalesce(F.try_divide("t_good", "t_labelled"), F.lit(1.0))
     host = (F.col("h_good") + prior * overall) / (F.col("h_labelled") + prior)
     joined = stats.join(hosts.crossJoin(F.broadcast(total)).select("host", host.alias("base")), "host")
-    return joined.select("host", "template", "n", "labelled", "good", ((F.col("good") + prior * F.col("base")) / (F.col("labelled") + prior)).alias("purity"))
+    return joined.select("host", "template", "shapes", "n", "labelled", "good", ((F.col("good") + prior * F.col("base")) / (F.col("labelled") + prior)).alias("purity"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: dict[str, str] | None = None, least: float = PURITY) -> DataFrame:
@@ -116,8 +116,10 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: dict[str, str] | Non
     marks = labels.where("page_id is not null and good is not null").groupBy("page_id").agg(F.min("good").cast("int").alias("good"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path")).join(marks, "page_id", "left")
     known = stage_table(templates(_shapes(parsed)), "known")
-    judged = stage_table(known.join(template_purity(known).select("host", "template", "purity"), ["host", "template"]).select("host", "path", "template", "purity"), "judged")
-    judged = parsed.drop("good").join(F.broadcast(judged) if judged.count() <= BROADCAST_SHAPES else judged, ["host", "path"])
+    pure = stage_table(template_purity(known).select("host", "template", "purity", "shapes"), "purity")
+    judged = stage_table(meet(known, pure, ["host", "template"], "shapes").select("host", "path", "template", "purity", "n"), "judged")
+    parsed = parsed.drop("good")
+    judged = parsed.join(F.broadcast(judged), ["host", "path"]) if judged.count() <= BROADCAST_SHAPES else meet(parsed, judged, ["host", "path"], "n")
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(F.create_map(*(F.lit(x) for kv in rules.items() for x in kv))[F.col("rule")] if rules else F.lit(None), F.when(F.col("purity") < least, "block").otherwise("allow"))
     return judged.withColumn("rule", rule).withColumn("verdict", verdict).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
