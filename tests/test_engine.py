@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tracelake import engine, render
 from tracelake.engine import Engine, UnknownName, distance, suggestions
+from tracelake.functions.macros import MACROS
 from tracelake.sources import lake, names
 from tracelake.sources.shapes import ShapedTables
 
@@ -35,10 +36,25 @@ def test_listing_and_context(recording):
     assert "hot-methods" in engine.views() and "P999" in engine.list_macros()
 
 
+def test_views_and_registries_in_sql(recording):
+    rows = recording.query('SELECT count(*) AS n FROM "hot-methods" h JOIN "gc-pauses" p ON 1 = 1')
+    assert rows.first()["n"] == recording.view("hot-methods").count() * recording.view("gc-pauses").count()
+    assert recording.query("SELECT P90(n) AS p FROM (SELECT 1 AS n) -- hot-methods").first()["p"] == 1
+    assert recording.query("SELECT name FROM macros WHERE name = 'diff'").count() == 1 and recording.query("macros").count() == 21
+    assert recording.query('SELECT category FROM "jfr$views" WHERE name = \'gc\'').count() == 1 and recording.query("jfr$views").count() == 83
+    said = recording.query("SELECT macro_sql('P90') AS m, macro_sql('format_decimals') AS f, macro_sql('x') AS x, view_sql('hot-methods') AS v, view_sql('gc') AS g").first()
+    assert said["m"] == MACROS["p90"].definition() and said["f"] == MACROS["format_decimals"].definition() and said["x"] is None and said["g"] is None
+    assert "Aggregate" in said["v"]
+    listed = {(r["name"], r["kind"]) for r in recording.query(" ").collect()}
+    assert ("ExecutionSample", "table") in listed and ("hot-methods", "view") in listed and ("gc", "view") not in listed
+
+
 def test_output(recording, tmp_path):
     out = tmp_path / "x.csv"
     recording.save("SELECT 'a,b' AS x, 1 AS y", str(out), csv=True)
     assert out.read_text() == "x,y\na\\,b,1\n"
+    recording.save("SELECT id, 'l1\nl2' AS x FROM range(1000)", str(out), csv=True, limit=3, cell_width=4)
+    assert out.read_text() == "id,x\n" + "".join(f"{i},l1\\nl\n" for i in range(3))
     assert recording.text("SELECT 'k' AS name, 12 AS n") == "name  n\n---- --\nk    12\n"
 
 

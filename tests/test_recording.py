@@ -8,8 +8,9 @@ from tracelake.engine import Engine
 from tracelake.sources import ingest, lake, recording
 
 MAIN = """
-public class Busy { public static void main(String[] a) throws Exception {
-  for (int i = 0; i < 25; i++) { Thread.sleep(12); byte[] b = new byte[1 << 20]; }
+public class Busy { static java.util.List<byte[]> held = new java.util.ArrayList<>();
+  public static void main(String[] a) throws Exception {
+  for (int i = 0; i < 25; i++) { Thread.sleep(12); byte[] b = new byte[1 << 20]; held.add(new byte[1 << 20]); }
   System.gc(); } }
 """
 
@@ -43,6 +44,16 @@ def test_source(spark, file):
         spark.read.format("recording").option("event", "jdk.Nothing").load(file).count()
 
 
+def test_old_objects(spark, file, tmp_path):
+    known = ingest.tables(spark, file)
+    wanted = {n: known[n] for n in ("OldObjectSample", "OldObject", "Class", "Method")}
+    lake.write(spark, wanted, f"file://{tmp_path}/stored", file)
+    engine = Engine.open(spark, f"file://{tmp_path}/stored")
+    objects = engine.tables["OldObject"]
+    assert objects.count() == objects.select("_id").distinct().count() > 1 and engine.tables["OldObjectSample"].where("object = 0").count() == 0
+    assert "byte[]" in {r["Object Class"] for r in engine.query("memory-leaks-by-class").collect()}
+
+
 def test_import_and_views(spark, file, tmp_path):
     known = ingest.tables(spark, file)
     wanted = ["ThreadSleep", "GarbageCollection", "GCHeapSummary", "ExecutionSample", "JVMInformation", "GCPhasePause", "Class", "Method", "Thread"]

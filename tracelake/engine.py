@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ import tracelake.plans.jvm  # noqa: F401  (these three register their views)
 from tracelake import render
 from tracelake.functions import macros
 from tracelake.plans.spec import VIEWS, Tables
-from tracelake.sources import lake
+from tracelake.sources import ingest, lake
+
+MACRO_TABLE, VIEW_TABLE = "macros", "jfr$views"  # tables that every engine has
 
 
 class UnknownName(ValueError):
@@ -44,11 +47,20 @@ class Engine:
         for name in self.tables:
             self.tables[name].createOrReplaceTempView(name)
         self.functions = macros.install(spark, self.tables)
+        self._installed: set[str] = set()
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, store: str | None = None) -> Engine:
+        """The recording stored in a folder, or a recording file, which is imported to ``store`` (by default beside it) if need be."""
+        if lake.stored(spark, path):
+            return cls(spark, lake.read(spark, path))
+        return cls.ingest(spark, path, store or f"{path}.tables")
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> Engine:
-        """The recording stored in a folder."""
-        return cls(spark, lake.read(spark, path))
+    def ingest(cls, spark: SparkSession, file: str, store: str, **options) -> Engine:
+        """Import a recording file to a folder, unless that holds it as it is now; options as of :func:`ingest.import_recording`."""
+        ingest.import_recording(spark, file, store, **options)
+        return cls(spark, lake.read(spark, store))
 
     def view(self, name: str) -> DataFrame:
         """A view by name, without regard to case."""
@@ -63,13 +75,46 @@ class Engine:
         return {"tables": sorted(self.tables), "views": [v.name for v in VIEWS.values() if v.choose(self.tables)]}
 
     def query(self, text: str) -> DataFrame:
-        """The answer to a view or table name (one word), or to Spark SQL in which macros may be called."""
+        """The answer to a view or table name (one word), or to Spark SQL; an empty text lists what there is.
+
+        SQL may call macros and read views: ``SELECT * FROM "hot-methods"``. The tables ``macros`` and ``jfr$views`` and the functions
+        macro_sql(name) and view_sql(name) describe them.
+        """
         text = text.strip().rstrip(";")
-        if " " in text or "\n" in text:
+        if not text:
+            return self.listing()
+        if re.search(r"\s", text):
+            self._install(text)
             return self.spark.sql(macros.expand(text))
         if text in self.tables:
             return self.tables[text]
-        return self.view(text)
+        extra = {MACRO_TABLE: self.macro_table, VIEW_TABLE: self.view_table}.get(text.lower())
+        return extra() if extra else self.view(text)
+
+    def _install(self, text: str) -> None:
+        """Put the views that a query names into the session's catalog; the others are not even planned."""
+        low = text.lower()
+        named = {v.name: v for v in VIEWS.values() if re.search(rf"(?<![\w-]){re.escape(v.name.lower())}(?![\w-])", low) and v.name not in self.tables}
+        for name, v in named.items():
+            if name not in self._installed and (frame := v.frame(self.tables)) is not None:
+                frame.createOrReplaceTempView(f"`{name}`")
+                self._installed.add(name)
+        for name, make in ((MACRO_TABLE, self.macro_table), (VIEW_TABLE, self.view_table)):
+            if name in low and name not in self._installed and name not in self.tables:
+                make().createOrReplaceTempView(f"`{name}`")
+                self._installed.add(name)
+        if "macro_sql" in low and "macro_sql" not in self._installed:
+            self.spark.sql(macros.lookup_function("macro_sql", {m.name: m.definition() for m in macros.MACROS.values()}))
+            self._installed.add("macro_sql")
+        if "view_sql" in low and "view_sql" not in self._installed:
+            known = [v.name for v in VIEWS.values() if v.choose(self.tables)]
+            self.spark.sql(macros.lookup_function("view_sql", {n: self.view_plan(n) for n in known} or {"": ""}))
+            self._installed.add("view_sql")
+
+    def listing(self) -> DataFrame:
+        """name, kind and label of all tables, and of the views that they suffice for."""
+        rows = [(n, "table", None) for n in sorted(self.tables)] + [(v.name, "view", v.title) for v in VIEWS.values() if v.choose(self.tables)]
+        return self.spark.createDataFrame(rows, "name string, kind string, label string")
 
     def _unknown(self, name: str) -> UnknownName:
         names = self.names()
@@ -77,19 +122,27 @@ class Engine:
         return UnknownName(f"no table or view {name!r} here" + (f"; did you mean {', '.join(near)}?" if near else ""))
 
     def text(self, query: str, csv: bool = False, width: int = 120, limit: int | None = None, cell_width: int | None = None) -> str:
-        """The rows of a query as a text table or CSV."""
+        """The rows of a query as a text table or CSV; the driver holds them, so give a limit where they are many."""
         labels, numeric, rows = render.cells(self.query(query), limit)
         return render.csv(labels, rows, cell_width) if csv else render.table(labels, numeric, rows, width)
 
-    def save(self, query: str, path: str, **options) -> None:
+    def save(self, query: str, path: str, csv: bool = False, **options) -> None:
+        """Write what :meth:`text` gives to a file of the driver; CSV rows stream there and are not held together."""
         with open(path, "w", encoding="utf-8") as out:
-            out.write(self.text(query, **options))
+            if not csv:
+                out.write(self.text(query, **options))
+                return
+            df, limit, cell_width = self.query(query), options.get("limit"), options.get("cell_width")
+            out.write(render.csv(df.columns, []))
+            for row in (df if limit is None else df.limit(limit)).toLocalIterator(prefetchPartitions=True):
+                out.write(render.csv_row([render.text_of(v) for v in row], cell_width))
 
     def macro_table(self) -> DataFrame:
         rows = [(m.name, m.about, m.sample) for m in macros.MACROS.values()]
         return self.spark.createDataFrame(rows, "name string, description string, sampleUsage string")
 
     def view_table(self) -> DataFrame:
+        """All views; ``available`` tells whether the tables suffice. Their definitions are plans: see :meth:`view_plan` and view_sql."""
         rows = [(v.name, v.category, v.title, list(v.requires or v.any_of), v.choose(self.tables) is not None) for v in VIEWS.values()]
         return self.spark.createDataFrame(rows, "name string, category string, label string, requires array<string>, available boolean")
 

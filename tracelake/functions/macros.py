@@ -103,6 +103,13 @@ def install(spark: SparkSession, tables: Tables) -> list[str]:
     return done
 
 
+def lookup_function(name: str, texts: dict[str, str]) -> str:
+    """A SQL function of the session that gives the text for a name, whatever its case, or null."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    cases = " ".join(f"WHEN {quoted(k.lower())} THEN {quoted(v)}" for k, v in texts.items())
+    return f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(name STRING) RETURNS STRING RETURN CASE lower(name) {cases} END"
+
+
 _CALL = re.compile(r"\b(" + "|".join(m.name for m in MACROS.values() if m.expanded) + r")\s*\(", re.IGNORECASE)
 _QUOTED = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*")
 

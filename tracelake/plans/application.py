@@ -230,8 +230,9 @@ def modules(t: Tables) -> DataFrame:
 
 @view("monitor-inflation", APP, "Monitor Inflation", "JavaMonitorInflate", "Method", "Class")
 def monitor_inflation(t: Tables) -> DataFrame:
-    rows = with_name(with_site(t["JavaMonitorInflate"], t, STACK), t["Class"], "monitorClass", "Monitor Class")
-    sums = rows.groupBy(APP_STACK, "Monitor Class", "site", "site_class", "site_method", "site_descriptor").agg(F.count("*").alias("Count"), F.sum("duration").alias("total"))
+    ids = t["JavaMonitorInflate"].groupBy(STACK, APP_STACK, "monitorClass").agg(F.count("*").alias("n"), F.sum("duration").alias("took"))
+    rows = with_name(with_site(ids, t, STACK), t["Class"], "monitorClass", "Monitor Class")
+    sums = rows.groupBy(APP_STACK, "Monitor Class", "site", "site_class", "site_method", "site_descriptor").agg(F.sum("n").alias("Count"), F.sum("took").alias("total"))
     return sums.orderBy(F.desc_nulls_last("total")).select(F.col("site").alias("Method"), "Monitor Class", "Count", format_duration(F.col("total")).alias("Total Duration"))
 
 
@@ -245,7 +246,8 @@ def object_statistics(t: Tables) -> DataFrame:
 
 @view("pinned-threads", APP, "Pinned Virtual Threads", "VirtualThreadPinned", "Method", "Class")
 def pinned_threads(t: Tables) -> DataFrame:
-    rows = with_site(t["VirtualThreadPinned"], t, APP_STACK).groupBy("site_id", "site").agg(F.count("*").alias("Pinned Count"), format_duration(F.max("duration")).alias("Longest Pinning"), F.sum("duration").alias("total"))
+    rows = t["VirtualThreadPinned"].groupBy(APP_STACK).agg(F.count("*").alias("Pinned Count"), format_duration(F.max("duration")).alias("Longest Pinning"), F.sum("duration").alias("total"))
+    rows = with_site(rows, t, APP_STACK)
     return rows.orderBy(F.desc_nulls_last("total")).select(F.col("site").alias("Method"), "Pinned Count", "Longest Pinning", format_duration(F.col("total")).alias("Total Time Pinned"))
 
 
@@ -276,13 +278,15 @@ def thread_cpu_load(t: Tables) -> DataFrame:
 
 @view("thread-start", APP, "Platform Thread Start by Method", "Thread", "ThreadStart", "ThreadEnd", "Method", "Class")
 def thread_start(t: Tables) -> DataFrame:
-    """One row a thread: a start with a later end if there is one, else a start without end, else an end alone."""
-    start = t["ThreadStart"].select(F.col("eventThread").alias("tid"), F.col("startTime").alias("started"), F.col(STACK).alias("at"))
-    end = t["ThreadEnd"].select(F.col("eventThread").alias("tid"), F.col("startTime").alias("ended"))
-    pairs = start.join(end, "tid", "full")
-    rank = F.when(F.col("ended") >= F.col("started"), 0).when(F.col("started").isNotNull() & F.col("ended").isNull(), 1).when(F.col("started").isNull(), 2).otherwise(3)
-    best = Window.partitionBy("tid").orderBy(rank, F.asc_nulls_last("started"), F.asc_nulls_last("ended"), F.asc_nulls_last("at"))
-    one = pairs.withColumn("place", F.row_number().over(best)).where("place = 1")
+    """One row a thread: its first start with the first end from then on (or else its first end), or an end alone.
+
+    Two aggregates and a join of one row a thread: starts and ends of a thread never meet one by one.
+    """
+    starts = t["ThreadStart"].groupBy(F.col("eventThread").alias("tid")).agg(F.min(F.struct(F.col("startTime"), F.col(STACK).isNull(), F.col(STACK).alias("at"))).alias("first"))
+    starts = starts.select("tid", F.col("first.startTime").alias("started"), F.col("first.at").alias("at"))
+    ends = t["ThreadEnd"].select(F.col("eventThread").alias("tid"), F.col("startTime").alias("end")).join(starts, "tid", "left").groupBy("tid")
+    ends = ends.agg(F.coalesce(F.min(F.when(F.col("end") >= F.col("started"), F.col("end"))), F.min("end")).alias("ended"))
+    one = starts.join(ends, "tid", "full")
     named = with_name(one, t["Thread"], "tid", "Thread").where(F.col("Thread").isNotNull())
     rows = with_site(named, t, "at", how="left")
     took: Column = F.when(F.col("started").isNull(), "unknown").when(F.col("ended").isNull(), "infinity").otherwise(format_duration(seconds_between("started", "ended")))

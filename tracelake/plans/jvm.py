@@ -73,7 +73,7 @@ def deoptimizations_by_reason(t: Tables) -> DataFrame:
 
 @view("deoptimizations-by-site", JVM, "Deoptimization by Site", "Deoptimization", "Method", "Class")
 def deoptimizations_by_site(t: Tables) -> DataFrame:
-    rows = with_site(t["Deoptimization"], t, "method").groupBy("method", "site", "site_class", "site_method", "site_descriptor", "lineNumber", "bci").agg(F.count("reason").alias("Count"))
+    rows = with_site(t["Deoptimization"].groupBy("method", "lineNumber", "bci").agg(F.count("reason").alias("Count")), t, "method")
     return rows.orderBy(F.desc("Count")).select(F.col("site").alias("Method"), F.col("lineNumber").alias("Line Number"), F.col("bci").alias("BCI"), "Count")
 
 
@@ -137,7 +137,7 @@ def gc_pauses(t: Tables) -> DataFrame:
 
 @view("gc-allocation-trigger", JVM, "GC Allocation Trigger", "AllocationRequiringGC", "Method", "Class")
 def gc_allocation_trigger(t: Tables) -> DataFrame:
-    rows = with_site(t["AllocationRequiringGC"], t, APP_STACK).groupBy("site_id", "site").agg(F.count("*").alias("Count"), F.sum("size").alias("size"))
+    rows = with_site(t["AllocationRequiringGC"].groupBy(APP_STACK).agg(F.count("*").alias("Count"), F.sum("size").alias("size")), t, APP_STACK)
     return rows.orderBy(F.desc("Count"), F.desc_nulls_last("size")).select(F.col("site").alias("Trigger Method (Non-JDK)"), "Count", format_memory(F.col("size")).alias("Total Requested"))
 
 

@@ -86,8 +86,11 @@ def table(labels: list[str], numeric: list[bool], rows: list[list[str]], width:
     return "\n".join([line(labels), " ".join("-" * w for w in size), *(line(r) for r in rows)]) + "\n"
 
 
-def csv(labels: list[str], rows: list[list[str]], cell_width: int | None = None) -> str:
+def csv_row(row: list[str], cell_width: int | None = None) -> str:
     """Cells with doubled quotes, and a backslash before commas and in place of line breaks; nulls are empty."""
-    escape = lambda c: c.replace('"', '""').replace(",", "\\,").replace("\n", "\\n")
-    cut = lambda c: c if cell_width is None or len(c) <= cell_width else c[:cell_width]
-    return "".join(",".join(line) + "\n" for line in [labels, *([escape(cut(c)) for c in row] for row in rows)])
+    cut = [c if cell_width is None or len(c) <= cell_width else c[:cell_width] for c in row]
+    return ",".join(c.replace('"', '""').replace(",", "\\,").replace("\n", "\\n") for c in cut) + "\n"
+
+
+def csv(labels: list[str], rows: list[list[str]], cell_width: int | None = None) -> str:
+    return ",".join(labels) + "\n" + "".join(csv_row(row, cell_width) for row in rows)

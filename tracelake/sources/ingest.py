@@ -14,13 +14,14 @@ from pyspark.sql import types as T
 
 from tracelake.sources import lake, recording
 
-DICTIONARIES = {"java.lang.Class": "Class", "java.lang.Thread": "Thread", "jdk.types.ClassLoader": "ClassLoader", "jdk.types.Module": "Module", "jdk.types.Method": "Method"}
+DICTIONARIES = {"java.lang.Class": "Class", "java.lang.Thread": "Thread", "jdk.types.ClassLoader": "ClassLoader", "jdk.types.Module": "Module", "jdk.types.Method": "Method", "jdk.types.OldObject": "OldObject"}
 SCHEMAS = {
     "Class": "_id long, javaName string, name string",
     "ClassLoader": "_id long, javaName string, name string",
     "Module": "_id long, name string",
     "Thread": "_id long, javaName string, osName string, javaThreadId long, virtual boolean",
     "Method": "_id long, type long, name string, descriptor string",
+    "OldObject": "_id long, address long, type long, description string, arrayElements int",
 }
 
 
@@ -50,6 +51,9 @@ def _contents(df: DataFrame) -> dict[str, list[DataFrame]]:
             out.setdefault("Module", []).append(df.select(identity(c).alias("_id"), c.alias("name")))
         elif kind == "java.lang.Thread":
             out.setdefault("Thread", []).append(df.select(_thread(c).alias("_id"), c["javaName"].alias("javaName"), c["osName"].alias("osName"), c["javaThreadId"].alias("javaThreadId"), c["osName"].isNull().alias("virtual")))
+        elif kind == "jdk.types.OldObject":
+            out.setdefault("OldObject", []).append(df.select(identity(*_object(c)).alias("_id"), c["address"].alias("address"), identity(c["type"]).alias("type"), c["description"].alias("description"), c["arrayElements"].alias("arrayElements")))
+            out.setdefault("Class", []).append(df.select(identity(c["type"]).alias("_id"), c["type"].alias("javaName"), c["type"].alias("name")))
         elif kind == "jdk.types.Method":
             methods.append(df.select(c.alias("m")))
         elif kind == "jdk.types.StackTrace":
@@ -61,6 +65,10 @@ def _contents(df: DataFrame) -> dict[str, list[DataFrame]]:
     return out
 
 
+def _object(c: Column) -> list[Column]:
+    return [c["address"], c["type"], c["description"]]
+
+
 def _thread(c: Column) -> Column:
     name = F.coalesce(c["javaName"], c["osName"])
     return identity(name, c["osName"], c["javaThreadId"])
@@ -75,6 +83,8 @@ def encode_events(df: DataFrame, depth: int = lake.FRAMES) -> DataFrame:
             c = identity(c)
         elif kind == "java.lang.Thread":
             c = F.coalesce(_thread(c), F.lit(0).cast("long"))
+        elif kind == "jdk.types.OldObject":
+            c = identity(*_object(c))
         elif kind == "jdk.types.Method":
             c = identity(*_method(c))
         elif kind == "jdk.types.StackTrace":

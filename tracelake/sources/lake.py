@@ -134,6 +134,11 @@ def read(spark: SparkSession, path: str) -> Tables:
     return Tables({n: spark.read.parquet(f"{path}/{n}") for n in names})
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a recording."""
+    return modified(spark, f"{path}/_manifest") is not None
+
+
 def current(spark: SparkSession, path: str, source: str) -> bool:
     """Whether a folder holds an import of this file as it is now."""
     fs, at = _fs(spark, f"{path}/_manifest")
