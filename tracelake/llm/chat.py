@@ -4,7 +4,8 @@ A legal conversation is a word of an automaton: an optional system turn, then us
 input turn is kept, relabelled, merged into the turn before it, or preceded by an empty turn that makes it legal; a dynamic
 program over the automaton's states picks the cheapest repair. The cost of a turn depends on its role only, so a run of turns is a
 matrix of least costs from state to state. Long conversations are cut into blocks of turns: blocks give their matrices, a fold over
-a conversation's blocks fixes the state at each border, and blocks then repair their own turns. No task holds a whole conversation.
+a conversation's blocks fixes the state at each border, and blocks then repair their own turns. No task holds the turns of a whole
+conversation; the fold holds about 200 bytes for each block of 256.
 Where turn numbers are null or repeated, a block of turn numbers is cut again by the rank of its rows.
 """
 
@@ -173,11 +174,13 @@ def repair_roles(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
         F.xxhash64("role", "text").alias("place"),
     )
     rows = blocks(rows, block)
-    least = rows.select(*KEY, "turn", "place", "role").groupBy(*KEY).applyInArrow(_matrix, "conv long, block long, cut long, n long, least array<long>")
-    borders = least.groupBy("conv").applyInArrow(_borders, "conv long, block long, cut long, first long, last boolean, enter int, leave int, total long")
+    # adaptive execution goes by bytes, and these rows are few bytes and much work: the number of tasks is kept
+    tasks = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = rows.select(*KEY, "turn", "place", "role").repartition(tasks, *KEY).groupBy(*KEY).applyInArrow(_matrix, "conv long, block long, cut long, n long, least array<long>")
+    borders = least.repartition(tasks, "conv").groupBy("conv").applyInArrow(_borders, "conv long, block long, cut long, first long, last boolean, enter int, leave int, total long")
     borders = stage_table(borders, "borders").withColumnsRenamed({"conv": "c", "block": "b", "cut": "k"})
     joined = rows.join(borders, rows["conv"].eqNullSafe(borders["c"]) & (rows["block"] == borders["b"]) & (rows["cut"] == borders["k"])).drop("c", "b", "k")
     kinds = "conv long, turn long, role string, total long, new_role string, action string, inserted string, cost long, rendered string, position long"
-    out = joined.groupBy(*KEY).applyInArrow(_repair, kinds)
+    out = joined.repartition(tasks, *KEY).groupBy(*KEY).applyInArrow(_repair, kinds)
     turn = F.when(F.col("turn") != NO_TURN, F.col("turn"))
     return out.select(F.col("conv").alias("conv_id"), turn.alias("turn"), "role", "new_role", "action", "inserted", "cost", F.col("total").alias("conv_cost"), "rendered", "position")
