@@ -1,11 +1,14 @@
 import itertools
 import os
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tracelake.operators.relate import asof, union_present
+from tracelake.operators import relate
+from tracelake.operators.relate import union_present
 from tracelake.plans.queries import ORACLE_SQL, QUERIES
 from tracelake.plans.spec import VIEWS, Tables
 from tracelake.sources.shapes import SHAPES, ShapedTables
@@ -80,11 +83,20 @@ def test_views_over_empty_tables(spark):
     assert VIEWS["gc-pauses"].frame(Empty(spark, SF)).count() == 1
 
 
-def test_asof_spans_and_ties(spark):
-    t = lambda s: f"2024-01-01 {s}"
-    events = spark.createDataFrame([(i, x) for i, x in enumerate([t("00:00:00"), t("05:00:00"), t("05:30:00"), t("23:00:00"), None])], "id int, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
-    marks = spark.createDataFrame([(1, t("00:30:00")), (2, t("05:00:00")), (3, t("05:00:00")), (4, None)], "v int, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
-    back = {r["id"]: r["m"] for r in asof(events, marks, "at", "t", "v", "m", "id").collect()}
-    ahead = {r["id"]: r["m"] for r in asof(events, marks, "at", "t", "v", "m", "id", forward=True).collect()}
-    assert back == {0: None, 1: 3, 2: 3, 3: 3, 4: None}
-    assert ahead == {0: 1, 1: None, 2: None, 3: None, 4: None}
+@pytest.mark.parametrize("rows", [2, 7, 1_000_000])
+def test_asof_spans_and_ties(spark, monkeypatch, rows):
+    monkeypatch.setattr(relate, "SPAN_ROWS", rows)
+    random.seed(rows)
+    t = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    # most times lie in one minute, and many are equal
+    at = [t(random.choice([random.randint(0, 60), random.randint(0, 86400)])) for _ in range(60)] + [None, t(0)]
+    when = [(random.randint(0, 9), t(random.choice([random.randint(0, 60), random.randint(0, 86400)]))) for _ in range(25)] + [(4, None), (None, t(30))]
+    events = spark.createDataFrame(list(enumerate(at)), "id int, at timestamp_ntz").withColumn("b", F.lit("clash"))
+    marks = spark.createDataFrame(when, "v int, t timestamp_ntz")
+    found = [(v, x) for v, x in when if v is not None and x is not None]
+    for forward in (False, True):
+        got = relate.asof(events, marks, "at", "t", "v", "m", "id", forward=forward)
+        assert got.columns == ["id", "at", "b", "m"]
+        for r in got.collect():
+            fit = [(x, v) for v, x in found if r["at"] is not None and (x > r["at"] if forward else x <= r["at"])]
+            assert r["m"] == ((min(fit) if forward else max(fit))[1] if fit else None)

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SPAN_ROWS = 1_000_000  # rows of one span of an as-of lookup
+MOST_SPANS = 10_000
+
 
 def sites(methods: DataFrame, classes: DataFrame, role: str = "", how: str = "inner", dot: str = ".") -> DataFrame:
     """Methods with their class: ``<role>site_id``, ``<role>site`` (class, method and descriptor) and ``<role>site_class``."""
@@ -42,21 +46,20 @@ def union_present(tables, branches: Iterable[tuple[str, dict[str, Column]]]) ->
     return out
 
 
-def asof(events: DataFrame, marks: DataFrame, at: str, mark_at: str, value: str, out: str, key: str, forward: bool = False, width: str = "1 hour") -> DataFrame:
+def asof(events: DataFrame, marks: DataFrame, at: str, mark_at: str, value: str, out: str, key: str, forward: bool = False) -> DataFrame:
     """events with ``out``, the ``value`` of the last mark at or before ``at`` (forward: of the first after it), else null.
 
-    One sort in place of a join of every event with every mark. Time is cut into spans of ``width``: within a span a window
-    carries the mark along; the mark that reaches a span from others comes from a window over one row for each span. So a task
-    holds a span and not all rows. Of marks at one time the largest value counts (forward: the smallest). ``key`` names a column
-    that orders events of one time.
+    One sort in place of a join of every event with every mark. Time is cut into spans of about SPAN_ROWS rows, by quantiles, so busy
+    times have short ones: within a span a window carries the mark along; the mark that reaches a span from others comes from a
+    window over one row for each span. So a task holds a span and not all rows. Of marks at one time the largest value counts
+    (forward: the smallest). ``key`` names a column that orders events of one time. Events without a time get null.
     """
     micros = lambda c: F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(`{c}` as timestamp_ntz))")
-    bucket = F.lit(_width_micros(width))
     names = events.columns
     left = events.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), micros(at).alias("t"), F.lit(None).cast(dict(marks.dtypes)[value]).alias("v"), F.lit(0 if forward else 1).alias("side"), F.col(f"`{key}`").cast("string").alias("k"))
     none = F.lit(None).cast(left.schema["row"].dataType)
     right = marks.where(F.col(f"`{mark_at}`").isNotNull()).select(none.alias("row"), micros(mark_at).alias("t"), F.col(f"`{value}`").alias("v"), F.lit(1 if forward else 0).alias("side"), F.lit(None).cast("string").alias("k"))
-    both = left.unionByName(right).withColumn("b", F.floor(F.col("t") / bucket))
+    both = _spans(left.unionByName(right))
     order = [F.col("t").desc(), F.col("side"), F.col("v").desc_nulls_last()] if forward else [F.col("t"), F.col("side"), F.col("v").asc_nulls_last()]
     within = Window.partitionBy("b").orderBy(*order, "k").rowsBetween(Window.unboundedPreceding, 0)
     carried = both.withColumn("near", F.last("v", ignorenulls=True).over(within))
@@ -67,9 +70,15 @@ def asof(events: DataFrame, marks: DataFrame, at: str, mark_at: str, value: str,
     across = Window.orderBy(F.col("b").desc() if forward else F.col("b")).rowsBetween(Window.unboundedPreceding, -1)
     reach = spans.select("b", F.last("end.v", ignorenulls=True).over(across).alias("far"))
     reach = reach.withColumnRenamed("b", "far_b")
-    return carried.where(~mark_row).join(reach, F.col("b") == F.col("far_b"), "left").select("row.*", F.coalesce("near", "far").alias(out))
-
-
-def _width_micros(width: str) -> int:
-    n, unit = width.split()
-    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1_000_000
+    return carried.where(~mark_row).join(reach, F.col("b") == F.col("far_b"), "left").select("row.*", F.when(F.col("t").isNotNull(), F.coalesce("near", "far")).alias(out))
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """rows with ``b``, the span of their time ``t``; rows of one time share one."""
+    k = min(MOST_SPANS, rows.count() // SPAN_ROWS + 1)
+    # at most MOST_SPANS times come to the driver
+    cuts = sorted(set(rows.approxQuantile("t", [i / k for i in range(1, k)], 1 / (4 * k)))) if k > 1 else []
+    if not cuts:
+        return rows.withColumn("b", F.lit(0.0))
+    cut = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="t_", outputCol="b", handleInvalid="keep")
+    return cut.transform(rows.withColumn("t_", F.coalesce(F.col("t").cast("double"), F.lit(0.0)))).drop("t_")
