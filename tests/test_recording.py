@@ -44,14 +44,16 @@ def test_source(spark, file):
         spark.read.format("recording").option("event", "jdk.Nothing").load(file).count()
 
 
-def test_old_objects(spark, file, tmp_path):
-    known = ingest.tables(spark, file)
-    wanted = {n: known[n] for n in ("OldObjectSample", "OldObject", "Class", "Method")}
-    lake.write(spark, wanted, f"file://{tmp_path}/stored", file)
-    engine = Engine.open(spark, f"file://{tmp_path}/stored")
+def test_open_imports_a_file(spark, file, tmp_path):
+    store = str(tmp_path / "stored")
+    engine = Engine.ingest(spark, file, store, only=["OldObjectSample", "ThreadSleep"])
     objects = engine.tables["OldObject"]
     assert objects.count() == objects.select("_id").distinct().count() > 1 and engine.tables["OldObjectSample"].where("object = 0").count() == 0
     assert "byte[]" in {r["Object Class"] for r in engine.query("memory-leaks-by-class").collect()}
+    first = lake.modified(spark, f"{store}/_manifest")
+    again = Engine.open(spark, file, store)  # as it is current, nothing is imported again
+    assert lake.modified(spark, f"{store}/_manifest") == first and again.tables["ThreadSleep"].count() >= 25
+    assert [p.name for p in tmp_path.iterdir()] == ["stored"] and Engine.open(spark, store).query("recording").count() == 1
 
 
 def test_import_and_views(spark, file, tmp_path):

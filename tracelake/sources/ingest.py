@@ -6,6 +6,8 @@ nothing. A dictionary is the distinct contents over all event tables, with the s
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,11 +100,22 @@ def encode_events(df: DataFrame, depth: int = lake.FRAMES) -> DataFrame:
     return lake.flatten(out)
 
 
-def tables(spark: SparkSession, path: str, depth: int = lake.FRAMES) -> dict[str, DataFrame]:
-    """All tables of a recording file: events, dictionaries and registers. Read lazily, once for each action."""
+def tables(spark: SparkSession, path: str, depth: int = lake.FRAMES, only: Collection[str] | None = None, staging: str | None = None) -> dict[str, DataFrame]:
+    """All tables of a recording file: events (of the types ``only``, if given), dictionaries and registers.
+
+    With a folder for staging, each event type is decoded once and written there, and the tables read that; without, the file is
+    decoded again by each action.
+    """
     types = recording.described(spark, path)
-    labels = {e: t.label for e, t in types.items() if t.seen}
-    raw = {table_name(e): spark.read.format("recording").schema(recording.event_schema(types[e].fields)).option("event", e).load(path) for e in labels}
+    labels = {e: t.label for e, t in types.items() if t.seen and (only is None or table_name(e) in only)}
+    raw = {}
+    for e in labels:
+        schema = recording.event_schema(types[e].fields)
+        df = spark.read.format("recording").schema(schema).option("event", e).load(path)
+        if staging:
+            df.write.parquet(f"{staging}/{table_name(e)}")
+            df = spark.read.schema(schema).parquet(f"{staging}/{table_name(e)}")
+        raw[table_name(e)] = df
     events = {n: encode_events(df, depth) for n, df in raw.items()}
     held: dict[str, list[DataFrame]] = {}
     for df in raw.values():
@@ -118,7 +131,12 @@ def tables(spark: SparkSession, path: str, depth: int = lake.FRAMES) -> dict[str
     return events | found | lake.registers(events, {table_name(e): text for e, text in labels.items()}, ids)
 
 
-def import_recording(spark: SparkSession, path: str, out: str, depth: int = lake.FRAMES, again: bool = False) -> None:
+def import_recording(spark: SparkSession, path: str, out: str, depth: int = lake.FRAMES, again: bool = False, only: Collection[str] | None = None) -> None:
     """Store a recording file as a folder of tables, unless that folder holds it as it is now."""
-    if again or not lake.current(spark, out, path):
-        lake.write(spark, tables(spark, path, depth), out, path, depth)
+    if not again and lake.current(spark, out, path):
+        return
+    staging = f"{out}.staging-{uuid.uuid4().hex}"
+    try:
+        lake.write(spark, tables(spark, path, depth, only, staging), out, path, depth)
+    finally:
+        lake.drop(spark, staging)

@@ -29,6 +29,11 @@ def modified(spark: SparkSession, path: str) -> int | None:
     return fs.getFileStatus(at).getModificationTime() if fs.exists(at) else None
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
 def flatten(df: DataFrame) -> DataFrame:
     """Structs of numbers only, or of one field, become columns ``field$part``; other structs stay."""
     out = []
@@ -120,8 +125,7 @@ def registers(events: dict[str, DataFrame], labels: dict[str, str] | None = None
 
 def write(spark: SparkSession, tables: dict[str, DataFrame], path: str, source: str = "", frames: int = FRAMES) -> None:
     """Store tables as Parquet; the manifest comes last, so a folder without one is not a recording."""
-    fs, at = _fs(spark, path)
-    fs.delete(at, True)
+    drop(spark, path)
     for name, df in tables.items():
         df.write.parquet(f"{path}/{name}")
     rows = [(name, spark.read.parquet(f"{path}/{name}").count(), source, modified(spark, source) if source else None, frames) for name in tables]
