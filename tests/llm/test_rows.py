@@ -274,7 +274,7 @@ def test_of_two_writers_one_is_refused(spark, tmp_path):
 
 
 def test_shards_keep_any_columns(spark, tmp_path):
-    docs = spark.range(50).select(F.col("id").alias("doc_id"), *(F.concat(F.lit(c), "id").alias(c) for c in ("shard", "_shard", "Run", "run_", "_rows", "_files", "bytes", "a.b", "tier")))
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), *(F.concat(F.lit(c), "id").alias(c) for c in ("shard", "_shard", "Run", "run_", "_rows", "_files", "bytes", "a.b", "tier", "_metadata")))
     docs = docs.union(docs.limit(3)).union(docs.limit(1).select(*(F.lit(None).cast(t).alias(c) for c, t in docs.dtypes)))
     placed = sharding.shard_documents(docs, f"file://{tmp_path}/own")
     assert placed.columns == ["doc_id", "shard", "shard_tier", "shard_rows", "shard_bytes", "version"] and placed.count() == 54

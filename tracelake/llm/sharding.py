@@ -93,9 +93,15 @@ def tier(size: Column) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log(size / float(SMALL)) / F.log(F.lit(float(FANOUT))))).cast("int")
 
 
+def _file(df: DataFrame) -> Column:
+    """The file of each row, also where a column is named like Spark's own."""
+    return df.metadataColumn("_metadata")
+
+
 def _listed(spark: SparkSession, root: str, folder: str) -> DataFrame:
     """The files of a folder of shards, with rows and bytes; only file metadata and no column is read."""
-    files = spark.read.parquet(f"{root}/{folder}").select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes"))
+    files = spark.read.parquet(f"{root}/{folder}")
+    files = files.select(_file(files)["file_name"].alias("name"), _file(files)["file_size"].alias("bytes"))
     found = files.groupBy("name", "bytes").agg(F.count("*").alias("rows"))
     return found.select(F.concat(F.lit(f"{folder}/"), "name").alias("shard"), "rows", "bytes", tier(F.col("bytes")).alias("tier"))
 
@@ -142,7 +148,7 @@ def _rows(spark: SparkSession, root: str, shards: DataFrame, schema: StructType,
     parts = []
     for name in folders:
         one = spark.read.schema(schema).parquet(f"{root}/{name}")
-        parts.append(one.withColumn(mark, F.concat(F.lit(f"{name}/"), F.col("_metadata.file_name"))))
+        parts.append(one.withColumn(mark, F.concat(F.lit(f"{name}/"), _file(one)["file_name"])))
     held = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema).withColumn(mark, F.lit(""))
     return held.join(shards.withColumnRenamed("shard", mark), mark)
 
