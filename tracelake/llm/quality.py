@@ -127,22 +127,20 @@ def _features(stats: DataFrame) -> DataFrame:
     })
 
 
-def _shrunk(groups: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """``groups(g, l, n, *by, *columns)`` with its columns, arrays of means over n rows, shrunk to those of l and of all.
+def _shrunk(groups: DataFrame, columns: list[str]) -> DataFrame:
+    """``groups(g, l, start, n, *columns, ...)`` with the columns, arrays of means over n rows, shrunk to those of l and of all.
 
-    A row for each group, so a small table; ``by`` names estimates that are kept apart.
+    A row for each group and start, so a small table; it is joined by sorting, as each broadcast would stay in the driver's memory.
     """
     size = len(FEATURES) * (len(FEATURES) + 1) // 2
 
     def over(keys: list[str], level: str) -> DataFrame:
         sums = {c: F.array(*(F.sum(F.get(c, F.lit(i)) * F.col("n")) for i in range(size))) for c in columns}
-        return groups.groupBy(*keys).agg(F.sum("n").alias(f"{level}_n"), *(x.alias(f"{level}_{c}") for c, x in sums.items()))
+        return groups.groupBy(*keys).agg(F.sum("n").alias(f"{level}_n"), *(x.alias(f"{level}_{c}") for c, x in sums.items())).hint("merge")
 
-    everything, lang = over(by, "a"), over(["l", *by], "l")
-    joined = groups.join(lang, ["l", *by])
-    joined = joined.join(everything, by) if by else joined.crossJoin(F.broadcast(everything))
-    out = [F.expr(f"transform({c}, (x, i) -> (n * x + {PRIOR}D * (l_{c}[i] + {PRIOR}D * a_{c}[i] / a_n) / (l_n + {PRIOR}D)) / (n + {PRIOR}D))").alias(c) for c in columns]
-    return joined.select("g", "l", "n", *by, *out)
+    joined = groups.join(over(["l", "start"], "l"), ["l", "start"]).join(over(["start"], "a"), "start")
+    out = {c: F.expr(f"transform({c}, (x, i) -> (n * x + {PRIOR}D * (l_{c}[i] + {PRIOR}D * a_{c}[i] / a_n) / (l_n + {PRIOR}D)) / (n + {PRIOR}D))") for c in columns}
+    return joined.select(*(out.get(c, F.col(c)).alias(c) for c in groups.columns))
 
 
 def _solve(frames):
@@ -163,12 +161,12 @@ def _solve(frames):
 
 def _moments(rows: DataFrame, floor: DataFrame) -> DataFrame:
     p = range(len(FEATURES))
-    sums = rows.groupBy("g", "l", "start").agg(F.count("*").alias("n"), F.array(*(F.avg(FEATURES[i]) for i in p)).alias("s"), F.array(*(F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in p for j in p if i <= j)).alias("ss"))
+    sums = rows.groupBy("g", "start").agg(F.count("*").alias("n"), F.array(*(F.avg(FEATURES[i]) for i in p)).alias("s"), F.array(*(F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in p for j in p if i <= j)).alias("ss"))
     # a group none of whose rows is near has the estimate of its language
     nothing = lambda k: F.array_repeat(F.lit(0.0), k)
-    sums = floor.select("g", "l").join(sums.drop("l"), "g", "left").select("g", "l", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("s", nothing(len(p))).alias("s"), F.coalesce("ss", nothing(len(p) * (len(p) + 1) // 2)).alias("ss"))
-    fit = _shrunk(sums, ["s", "ss"], ["start"]).join(floor.drop("l"), "g").mapInPandas(_solve, "g string, start int, mean array<double>, inv array<double>, det double")
-    return stage_table(fit, "moments")
+    whole = {"start": F.lit(0), "n": F.lit(0), "s": nothing(len(p)), "ss": nothing(len(p) * (len(p) + 1) // 2)}
+    sums = floor.join(sums.hint("merge"), "g", "left").select("g", "l", "floor", *(F.coalesce(F.col(c), x).alias(c) for c, x in whole.items()))
+    return stage_table(_shrunk(sums, ["s", "ss"]).mapInPandas(_solve, "g string, start int, mean array<double>, inv array<double>, det double"), "moments")
 
 
 def _distance():
@@ -194,10 +192,11 @@ def robust_distances(rows: DataFrame) -> DataFrame:
     few = rows.select("g").distinct().count() <= BROADCAST_GROUPS
     met = lambda groups: F.broadcast(groups) if few else groups
     quantile = lambda c, q: F.percentile_approx(c, q, SKETCH)
-    mid = rows.groupBy("g", "l").agg(F.count("*").alias("n"), F.array(*(quantile(c, 0.5) for c in FEATURES)).alias("mid"))
-    mid = stage_table(_shrunk(mid, ["mid"], []).select("g", "mid"), "medians")
-    dev = rows.join(met(mid), "g").groupBy("g", "l").agg(F.count("*").alias("n"), F.array(*(quantile(F.abs(F.col(c) - F.col("mid")[i]), 0.5) * 1.4826 for i, c in enumerate(FEATURES))).alias("mad"), F.array(*(F.coalesce(F.var_samp(c), F.lit(0.0)) for c in FEATURES)).alias("floor"))
-    scale = stage_table(mid.join(_shrunk(dev, ["mad", "floor"], []).select("g", "l", "mad", "floor"), "g"), "scales")
+    one = F.lit(0).alias("start")
+    mid = rows.groupBy("g", "l", one).agg(F.count("*").alias("n"), F.array(*(quantile(c, 0.5) for c in FEATURES)).alias("mid"))
+    mid = stage_table(_shrunk(mid, ["mid"]).select("g", "mid"), "medians")
+    dev = rows.join(met(mid), "g").groupBy("g", "l", one).agg(F.count("*").alias("n"), F.array(*(quantile(F.abs(F.col(c) - F.col("mid")[i]), 0.5) * 1.4826 for i, c in enumerate(FEATURES))).alias("mad"), F.array(*(F.coalesce(F.var_samp(c), F.lit(0.0)) for c in FEATURES)).alias("floor"))
+    scale = stage_table(mid.join(_shrunk(dev, ["mad", "floor"]).select("g", "l", "mad", "floor").hint("merge"), "g"), "scales")
     floor = scale.select("g", "l", "floor")
     scale = scale.drop("l")
     spread = f"transform(mad, (m, i) -> greatest(m * m, 1e-2 * floor[i], {FLOOR**2}D))"
@@ -216,8 +215,8 @@ def robust_distances(rows: DataFrame) -> DataFrame:
 
     def scaled(fit: DataFrame) -> DataFrame:
         far = rows.join(met(fit), "g").withColumn("d", _distance())
-        by = far.groupBy("g", "l").agg(F.count("*").alias("n"), F.array(F.greatest(quantile("d", 0.5), F.lit(1e-12)) / half).alias("by"))
-        return far.join(met(stage_table(_shrunk(by, ["by"], []).select("g", F.col("by")[0].alias("by")), "scales")), "g")
+        by = far.groupBy("g", "l", one).agg(F.count("*").alias("n"), F.array(F.greatest(quantile("d", 0.5), F.lit(1e-12)) / half).alias("by"))
+        return far.join(met(stage_table(_shrunk(by, ["by"]).select("g", F.col("by")[0].alias("by")), "scales")), "g")
 
     best = stage_table(best, "best")
     near = scaled(best).where(F.col("d") <= F.col("by") * chi_square_quantile(p, 1.96))
