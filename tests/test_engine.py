@@ -49,6 +49,12 @@ def test_views_and_registries_in_sql(recording):
     assert ("ExecutionSample", "table") in listed and ("hot-methods", "view") in listed and ("gc", "view") not in listed
 
 
+def test_context_names_targets(spark):
+    df = spark.range(1).select(F.col("id").alias("eventThread", metadata={"kind": "java.lang.Thread", "comment": "Event Thread"}), F.lit(1).alias("n"))
+    text = Engine(spark, {"Noted": df}).context()
+    assert "eventThread bigint  -- Event Thread, refers to Thread._id\n    n int\n" in text
+
+
 def test_output(recording, tmp_path):
     out = tmp_path / "x.csv"
     recording.save("SELECT 'a,b' AS x, 1 AS y", str(out), csv=True)

@@ -38,6 +38,8 @@ def test_source(spark, file):
     recording.register(spark)
     sleeps = spark.read.format("recording").option("event", "jdk.ThreadSleep").load(file)
     rows = sleeps.where("eventThread.javaName = 'main'").collect()
+    assert sleeps.schema["time"].metadata["comment"].startswith("Sleep Time")
+    assert "DataAmount BYTES" in spark.read.format("recording").option("event", "jdk.PhysicalMemory").load(file).schema["totalSize"].metadata["comment"]
     assert len(rows) >= 25 and all(0.01 < r["duration"] < 5 for r in rows)
     assert any(f["type"] == "java.lang.Thread" and f["name"] == "sleep" for f in rows[0]["stackTrace"]["frames"])
     with pytest.raises(Exception, match="no event type"):

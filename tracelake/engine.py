@@ -156,7 +156,8 @@ class Engine:
         for name in sorted(self.tables):
             out.append(f"- {name}")
             for f in self.tables[name].schema.fields:
-                note = f.metadata.get("comment", "") if f.metadata else ""
+                target = ingest.DICTIONARIES.get(f.metadata.get("kind", ""))
+                note = ", ".join(x for x in (f.metadata.get("comment", ""), f"refers to {target}._id" if target else "") if x)
                 out.append(f"    {f.name} {f.dataType.simpleString()}" + (f"  -- {note}" if note else ""))
         out += ["", "Views (query by name):"]
         out += [f"- {v.name}: {v.title}" for v in VIEWS.values() if v.choose(self.tables)]
